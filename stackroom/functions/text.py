@@ -55,6 +55,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def ngrams(text: Column, n: int) -> Column:
+    """All substrings of length ``n``, empty when the text is shorter.
+
+    Works on an array of characters: taking substrings of the text itself would walk it from the
+    start for every position.
+    """
+    def shingles(chars: Column) -> Column:
+        return F.transform(
+            F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(0))),
+            lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+
+    return let(F.split(text, ""), shingles)
+
+
 def token_counts(tokens: Column) -> Column:
     """Distinct tokens of one row with their counts, without leaving the row.
 
@@ -73,15 +87,6 @@ def token_counts(tokens: Column) -> Column:
     return let(F.array_sort(tokens), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """All substrings of length ``n``, empty when the text is shorter."""
-    last = F.length(text) - F.lit(n - 1)
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def trigram_set(text: Column) -> Column:
     """Distinct trigrams of the lower-cased words, each padded with two blanks and one blank."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(ALNUM), F.lit(0))

@@ -67,3 +67,20 @@ def dense_embed(df: DataFrame, text: str = "text", out: str = "vec", fn: Embedde
 def dimension_violations(df: DataFrame, vec: str, dim: int) -> DataFrame:
     """Rows whose vector is missing or has another length than the index."""
     return df.filter(F.col(vec).isNull() | (F.size(vec) != dim))
+
+
+def embed_arrays(df: DataFrame, texts: str, out: str, fn: Embedder | None = None) -> DataFrame:
+    """Replace an array of texts by the array of their vectors, row by row."""
+    fn = fn or hash_embedder()
+    keep = [c for c in df.columns if c != texts]
+    schema = T.StructType([*[df.schema[c] for c in keep],
+                           T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [fn(t).tolist() if t else [] for t in batch.column(batch.schema.get_field_index(texts)).to_pylist()]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*arrays, pa.array(vectors, type=pa.list_(pa.list_(pa.float64())))], names=[*keep, out])
+
+    return df.mapInArrow(run, schema)

@@ -1 +1,261 @@
-"""Registered queries of this area."""
+"""Near-duplicate detection over all documents: each one against the index of all others."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import sketches as Z
+from ..functions.text import let, strip, title_hash, trigram_set, words
+from ..operators import confirm as C
+from ..operators import minhash as M
+from ..operators import simhash as H
+from ..operators.chunking import word_windows
+from ..operators.embed import embed_arrays
+from ..operators.titles import similar_titles
+from ..operators.verdict import cascade, resolve_newer, verdict
+from ..session import spread
+from ..sources.tables import documents, table
+from . import sqlbits as S
+from .registry import query
+
+# Documents of source src3 count as code, which is never compared.
+CODE_SOURCE = "src3"
+
+
+def texts(spark, sf):
+    return spread(documents(spark, sf), "doc_id")
+
+
+def fingerprints(spark, sf):
+    """(doc_id, kb_id, title_hash, simhash)"""
+    docs = texts(spark, sf)
+    titles = docs.select("doc_id", title_hash(F.col("title")).alias("title_hash"))
+    return H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id")
+
+
+def signatures(spark, sf):
+    """(doc_id, kb_id, title, signature)"""
+    return M.minhash128(texts(spark, sf), "doc_id", "kb_id", "title")
+
+
+def packs(spark, sf, size=100, overlap=10):
+    """(doc_id, n_chunks, vecs): unit vectors of all chunks of a document in its row."""
+    kept = let(words(F.col("text")), lambda ws: F.filter(
+        word_windows(ws, size, overlap), lambda t: F.length(strip(t)) >= 30))
+    rows = texts(spark, sf).select("doc_id", kept.alias("texts"))
+    return embed_arrays(rows, "texts", "vecs").select("doc_id", F.size("vecs").alias("n_chunks"), "vecs")
+
+
+def created(spark, sf):
+    """(doc_id, doc_created_at, chunk_count); documents of src7 have no date."""
+    docs = table(spark, sf, "documents")
+    at = F.when(F.col("source") != "src7", F.col("doc_id"))
+    return docs.select("doc_id", at.alias("doc_created_at"))
+
+
+# ---- SQL --------------------------------------------------------------------------------------
+
+_BITS = ", ".join(f"sum(CAST((h >> {k}) & 1::UBIGINT AS BIGINT)) AS s{k}" for k in range(64))
+_WORD = " + ".join(f"CASE WHEN 2 * coalesce(s{k}, 0) > coalesce(n, 0) THEN {1 << k}::HUGEINT ELSE 0::HUGEINT END" for k in range(64))
+FP = f"""{S.DOCS},
+grams AS (SELECT DISTINCT doc_id, substr(text, i, 3) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM docs)),
+gh AS (SELECT doc_id, CAST('0x' || substr(md5(g), 17, 16) AS UBIGINT) AS h FROM grams),
+gs AS (SELECT doc_id, count(*) AS n, {_BITS} FROM gh GROUP BY doc_id),
+gw AS (SELECT doc_id, {_WORD} AS w FROM docs LEFT JOIN gs USING (doc_id)),
+fp AS (SELECT doc_id, kb_id, title, sha256({S.strip('title')}) AS title_hash, CAST(CASE WHEN w >= 9223372036854775808::HUGEINT THEN w - 18446744073709551616::HUGEINT ELSE w END AS BIGINT) AS simhash,
+  CAST((w >> 0) & 65535 AS INTEGER) AS b0, CAST((w >> 16) & 65535 AS INTEGER) AS b1, CAST((w >> 32) & 65535 AS INTEGER) AS b2, CAST((w >> 48) & 65535 AS INTEGER) AS b3 FROM docs JOIN gw USING (doc_id))"""
+_SHARE = "(a.b0 = b.b0 OR a.b1 = b.b1 OR a.b2 = b.b2 OR a.b3 = b.b3)"
+SIM = f"""{FP},
+near AS (SELECT a.doc_id, b.doc_id AS candidate_id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance, a.title_hash = b.title_hash AS same
+  FROM fp a JOIN fp b ON a.kb_id = b.kb_id AND a.doc_id <> b.doc_id AND {_SHARE}),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, candidate_id) AS r FROM near WHERE distance <= 10) WHERE r = 1),
+stage1 AS (SELECT fp.doc_id, CASE WHEN distance <= 3 THEN 'identical_level' WHEN distance <= 10 THEN 'similar' ELSE 'none' END AS body_match,
+  CASE WHEN distance <= 3 THEN CASE WHEN same THEN 'same' ELSE 'changed' END ELSE 'unknown' END AS title_match, candidate_id, distance FROM fp LEFT JOIN best USING (doc_id))"""
+
+_FAMILY = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(M.hash_family()))
+_P = f"{M.PRIME}::HUGEINT"
+SIG = f"""@docs@fam(i, a, b) AS (VALUES {_FAMILY}),
+dt AS (SELECT DISTINCT doc_id, unnest({S.words('lower(text)')}) AS t FROM docs),
+voc AS (SELECT t, ((CAST(CAST('0x' || left(md5(t), 16) AS UBIGINT) AS HUGEINT) % {_P}) * 8 + CAST(CAST('0x' || right(md5(t), 16) AS UBIGINT) AS HUGEINT) % {_P}) % {_P} AS h FROM (SELECT DISTINCT t FROM dt)),
+perm AS (SELECT t, i, CAST((a * h + b) % {_P} AS BIGINT) AS v FROM voc, fam),
+mins AS (SELECT doc_id, i, min(v) AS v FROM dt JOIN perm USING (t) GROUP BY ALL),
+sig AS (SELECT doc_id, kb_id, title, coalesce(s, list_transform(range(128), lambda x: {M.PRIME}::BIGINT)) AS s FROM docs LEFT JOIN (SELECT doc_id, list(v ORDER BY i) AS s FROM mins GROUP BY doc_id) USING (doc_id)),
+mb AS (SELECT doc_id, kb_id, k AS band_index, md5(array_to_string(s[k*8+1 : k*8+8], ',')) AS band_key FROM sig, range(16) r(k))"""
+SIG_DOCS = SIG.replace("@docs@", S.DOCS + ", ")
+_JL = "len(list_filter(range(1, 129), lambda x: {a}[x] = {b}[x])) / 128.0::DOUBLE"
+TITLES = """tt AS (SELECT DISTINCT kb_id, title FROM docs),
+tg AS (SELECT kb_id, title, list_distinct(list(substr(p, i, 3))) AS g FROM (SELECT kb_id, title, p, unnest(range(1, length(p) - 1)) AS i FROM (
+  SELECT kb_id, title, '  ' || unnest(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+')) || ' ' AS p FROM tt)) GROUP BY kb_id, title),
+tp AS (SELECT a.kb_id, a.title, b.title AS other_title, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS sim FROM tg a JOIN tg b ON a.kb_id = b.kb_id),
+ts AS (SELECT * FROM tp WHERE sim >= 0.85)"""
+STAGE2 = f"""{TITLES},
+bodyc AS (SELECT DISTINCT a.doc_id, b.doc_id AS candidate_id FROM mb a JOIN mb b ON a.kb_id = b.kb_id AND a.band_index = b.band_index AND a.band_key = b.band_key AND a.doc_id <> b.doc_id),
+titlec AS (SELECT a.doc_id, b.doc_id AS candidate_id, sim FROM docs a JOIN ts ON ts.kb_id = a.kb_id AND ts.title = a.title JOIN docs b ON b.kb_id = ts.kb_id AND b.title = ts.other_title AND b.doc_id <> a.doc_id),
+cand AS (SELECT doc_id, candidate_id, max(sim) AS sim FROM (SELECT doc_id, candidate_id, 0 AS sim FROM bodyc UNION ALL SELECT * FROM titlec) GROUP BY ALL),
+jac AS (SELECT c.doc_id, c.candidate_id, sim, {_JL.format(a='a.s', b='b.s')} AS j FROM cand c JOIN sig a ON a.doc_id = c.doc_id JOIN sig b ON b.doc_id = c.candidate_id),
+stage2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, candidate_id) AS r FROM jac WHERE j > 0 AND (j >= 0.65 OR (sim >= 0.85 AND j >= 0.25))) WHERE r = 1)"""
+PACKS = f"""{S.windows(100, 10)}, pc AS (SELECT doc_id, pos, text FROM windows WHERE length({S.strip('text')}) >= 30),
+{S.hashed('pc', 'doc_id, pos', 'pv')}, pn AS (SELECT doc_id, count(*) AS n FROM pc GROUP BY doc_id)"""
+
+
+def coverage_sql(pairs: str) -> str:
+    """cov (doc_id, candidate_id, score) for the pairs of a relation."""
+    return f"""rat AS (SELECT p.doc_id, p.candidate_id, a.n AS na, CASE WHEN a.n > 0 AND c.n > 0 THEN least(a.n, c.n) / greatest(a.n, c.n) ELSE 0 END AS ratio
+  FROM {pairs} p LEFT JOIN pn a ON a.doc_id = p.doc_id LEFT JOIN pn c ON c.doc_id = p.candidate_id),
+mat AS (SELECT r.doc_id, r.candidate_id, x.pos, round(sum(x.v * y.v), 9) AS c, y.pos AS cpos FROM rat r JOIN pv x ON x.doc_id = r.doc_id JOIN pv y ON y.doc_id = r.candidate_id AND y.b = x.b WHERE ratio >= 0.75 GROUP BY ALL),
+top AS (SELECT doc_id, candidate_id, pos, max(c) AS c FROM mat WHERE c >= 0.5 GROUP BY ALL),
+tot AS (SELECT doc_id, candidate_id, sum(c) AS c FROM top GROUP BY ALL),
+cov AS (SELECT r.doc_id, r.candidate_id, CASE WHEN ratio < 0.75 THEN 0 ELSE coalesce(c, 0) / na * ratio END AS score FROM rat r LEFT JOIN tot USING (doc_id, candidate_id))"""
+
+
+# ---- queries ----------------------------------------------------------------------------------
+
+@query("simhash64", f"WITH {FP} SELECT doc_id, simhash FROM fp")
+def simhash64(spark, sf):
+    return H.simhash64(texts(spark, sf), "doc_id")
+
+
+@query("hamming", f"WITH {FP} SELECT a.doc_id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM fp a JOIN fp b ON b.doc_id = a.doc_id + 1")
+def hamming(spark, sf):
+    fp = H.simhash64(texts(spark, sf), "doc_id")
+    following = fp.select((F.col("doc_id") - 1).alias("doc_id"), F.col("simhash").alias("other"))
+    return fp.join(following, "doc_id").select("doc_id", Z.hamming(F.col("simhash"), F.col("other")).alias("distance"))
+
+
+@query("simhash_bands", f"WITH {FP} SELECT doc_id, 0 AS band_index, b0 AS band_value FROM fp UNION ALL SELECT doc_id, 1, b1 FROM fp UNION ALL SELECT doc_id, 2, b2 FROM fp UNION ALL SELECT doc_id, 3, b3 FROM fp")
+def simhash_bands(spark, sf):
+    return H.band_rows(H.simhash64(texts(spark, sf), "doc_id"), "doc_id")
+
+
+@query("simhash_candidates", f"WITH {SIM} SELECT fp.doc_id, count(candidate_id) AS n_candidates FROM fp LEFT JOIN near USING (doc_id) GROUP BY fp.doc_id")
+def simhash_candidates(spark, sf):
+    return H.candidate_counts(H.simhash64(texts(spark, sf), "doc_id", "kb_id"))
+
+
+@query("simhash_match", f"WITH {SIM} SELECT * FROM stage1")
+def simhash_match(spark, sf):
+    return H.simhash_match(fingerprints(spark, sf))
+
+
+@query("minhash128", f"WITH {SIG_DOCS} SELECT doc_id, array_to_string(s, ',') AS signature FROM sig")
+def minhash128(spark, sf):
+    return signatures(spark, sf).select("doc_id", F.array_join("signature", ",").alias("signature"))
+
+
+@query("split_bands", f"WITH {SIG_DOCS} SELECT doc_id, CAST(band_index AS INTEGER) AS band_index, band_key FROM mb")
+def split_bands(spark, sf):
+    return M.band_rows(M.with_keys(signatures(spark, sf)), "doc_id")
+
+
+@query("minhash_candidates", f"WITH {SIG_DOCS}, pairs AS (SELECT DISTINCT a.doc_id, b.doc_id AS c FROM mb a JOIN mb b USING (kb_id, band_index, band_key) WHERE a.doc_id <> b.doc_id) SELECT docs.doc_id, count(c) AS n_candidates FROM docs LEFT JOIN pairs USING (doc_id) GROUP BY docs.doc_id")
+def minhash_candidates(spark, sf):
+    return M.candidate_counts(signatures(spark, sf).select("doc_id", "kb_id", "signature"))
+
+
+@query("jaccard_estimate", f"WITH {SIG_DOCS} SELECT a.doc_id, {_JL.format(a='a.s', b='b.s')} AS jaccard FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1")
+def jaccard_estimate(spark, sf):
+    s = signatures(spark, sf).select("doc_id", "signature")
+    following = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("signature").alias("other"))
+    return s.join(following, "doc_id").select("doc_id", Z.jaccard_estimate(F.col("signature"), F.col("other")).alias("jaccard"))
+
+
+@query("minhash_match", f"WITH {SIG_DOCS}, {STAGE2} SELECT doc_id, candidate_id, j AS jaccard FROM stage2")
+def minhash_match(spark, sf):
+    return M.minhash_match(signatures(spark, sf))
+
+
+@query("trigram_similarity", f"WITH {S.DOCS}, {TITLES} SELECT kb_id, title, other_title, round(sim, 6) AS sim FROM tp WHERE sim >= 0.5")
+def trigram_similarity(spark, sf):
+    return similar_titles(documents(spark, sf), 0.5).withColumn("sim", F.round("sim", 6))
+
+
+@query("trigram_set", f"WITH {S.DOCS}, {TITLES} SELECT kb_id, title, array_to_string(list_sort(g), '|') AS trigrams FROM tg")
+def trigram_set_q(spark, sf):
+    d = documents(spark, sf).select("kb_id", "title").distinct().withColumn("g", trigram_set(F.col("title")))
+    return d.filter(F.size("g") > 0).select("kb_id", "title", F.array_join(F.array_sort("g"), "|").alias("trigrams"))
+
+
+@query("chunk_coverage", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT doc_id, candidate_id, round(score, 6) AS score FROM cov")
+def chunk_coverage(spark, sf):
+    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
+    return C.chunk_coverage(pairs, packs(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+_BODY = "CASE WHEN round(score, 9) >= 0.95 THEN 'identical_level' WHEN round(score, 9) >= 0.75 THEN 'similar' ELSE 'none' END"
+
+
+@query("score_to_body_match", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT {_BODY} AS body_match, count(*) AS n FROM cov GROUP BY ALL")
+def score_to_body_match(spark, sf):
+    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
+    return C.chunk_coverage(pairs, packs(spark, sf)).groupBy(
+        C.body_match(F.round("score", 9)).alias("body_match")).agg(F.count("*").alias("n"))
+
+
+_CONFIRM = f"""conf AS (SELECT cov.doc_id, round(score, 9) AS score, {_BODY} AS body_match, candidate_id FROM cov),
+stage3 AS (SELECT c.doc_id, score, body_match, CASE WHEN body_match = 'none' THEN 'unknown' WHEN sha256({S.strip('a.title')}) = sha256({S.strip('b.title')}) THEN 'same' ELSE 'changed' END AS title_match,
+  CASE WHEN body_match <> 'none' THEN candidate_id END AS candidate_id FROM conf c JOIN docs a ON a.doc_id = c.doc_id JOIN docs b ON b.doc_id = c.candidate_id)"""
+
+
+def confirm_fn(spark, sf):
+    titles = documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash"))
+    return lambda pairs: C.chunk_confirm(C.chunk_coverage(pairs, packs(spark, sf)), titles)
+
+
+@query("chunk_confirm", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')}, {_CONFIRM} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3")
+def chunk_confirm(spark, sf):
+    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
+    return confirm_fn(spark, sf)(pairs).withColumn("score", F.round("score", 6))
+
+
+FULL = f"""{SIM}, {SIG.replace("@docs@", "")}, {STAGE2},
+first AS (SELECT s1.doc_id, CASE WHEN s1.body_match = 'none' AND s2.candidate_id IS NOT NULL THEN 'similar' ELSE s1.body_match END AS body_match, s1.title_match, coalesce(s1.candidate_id, s2.candidate_id) AS candidate_id
+  FROM stage1 s1 LEFT JOIN stage2 s2 USING (doc_id)),
+asked AS (SELECT doc_id, candidate_id FROM first WHERE body_match = 'similar'),
+{PACKS}, {coverage_sql('asked')}, {_CONFIRM},
+res AS (SELECT f.doc_id, CASE WHEN s.doc_id IS NOT NULL THEN s.body_match ELSE f.body_match END AS body_match, CASE WHEN s.doc_id IS NOT NULL THEN s.title_match ELSE f.title_match END AS title_match,
+  CASE WHEN s.doc_id IS NOT NULL THEN s.candidate_id ELSE f.candidate_id END AS candidate_id FROM first f LEFT JOIN stage3 s USING (doc_id))"""
+# Code documents take no part: they neither ask nor are candidates.
+FULL_DOCS = FULL.replace(" FROM documents)", f" FROM documents WHERE source <> '{CODE_SOURCE}')", 1)
+
+
+def dedup_results(spark, sf):
+    """(doc_id, body_match, title_match, candidate_id) of the whole cascade for every document."""
+    docs = texts(spark, sf).filter(F.col("connector_id") != CODE_SOURCE)
+    titles = docs.select("doc_id", title_hash(F.col("title")).alias("title_hash"))
+    fp = H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id")
+    sig = M.minhash128(docs, "doc_id", "kb_id", "title")
+    found = cascade(H.simhash_match(fp), M.minhash_match(sig), confirm_fn(spark, sf))
+    skipped = documents(spark, sf).filter(F.col("connector_id") == CODE_SOURCE).select(
+        "doc_id", F.lit("none").alias("body_match"), F.lit("unknown").alias("title_match"),
+        F.lit(None).cast("bigint").alias("candidate_id"))
+    return found.unionByName(skipped)
+
+
+_RES = f"(SELECT doc_id, body_match, title_match, candidate_id FROM res UNION ALL SELECT doc_id, 'none', 'unknown', NULL FROM documents WHERE source = '{CODE_SOURCE}')"
+
+
+@query("dedup_cascade", f"WITH {FULL_DOCS} SELECT doc_id, body_match, title_match, candidate_id, body_match = 'none' AS needs_indexing FROM {_RES}")
+def dedup_cascade(spark, sf):
+    return dedup_results(spark, sf).withColumn("needs_indexing", F.col("body_match") == "none")
+
+
+_DATE = "CASE WHEN source <> 'src7' THEN doc_id END"
+
+
+@query("resolve_newer", f"WITH d AS (SELECT doc_id, {_DATE} AS at FROM documents) SELECT a.doc_id, b.doc_id AS existing_id, CASE WHEN b.at IS NULL OR a.at > b.at THEN 'incoming' ELSE 'existing' END AS newer FROM d a JOIN d b ON b.doc_id = a.doc_id - 1 OR b.doc_id = a.doc_id + 1")
+def resolve_newer_q(spark, sf):
+    d = created(spark, sf)
+    other = d.select(F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("doc_id"),
+                     F.col("doc_id").alias("existing_id"), F.col("doc_created_at").alias("existing_at"))
+    return d.join(other, "doc_id").select(
+        "doc_id", "existing_id", resolve_newer(F.col("doc_created_at"), F.col("existing_at")).alias("newer"))
+
+
+@query("verdict", f"""WITH {FULL_DOCS}, dd AS (SELECT d.doc_id, {_DATE} AS at, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count FROM documents d LEFT JOIN pn USING (doc_id)),
+  v AS (SELECT r.*, o.chunk_count, CASE WHEN r.candidate_id IS NULL THEN NULL WHEN o.at IS NULL OR m.at > o.at THEN 'incoming' ELSE 'existing' END AS newer FROM {_RES} r LEFT JOIN dd m ON m.doc_id = r.doc_id LEFT JOIN dd o ON o.doc_id = r.candidate_id),
+  a AS (SELECT *, CASE WHEN body_match = 'none' THEN 'index' WHEN body_match = 'identical_level' AND title_match = 'changed' AND newer = 'incoming' THEN 'take_over' WHEN body_match = 'similar' AND newer = 'incoming' THEN 'replace' ELSE 'outdate' END AS action FROM v)
+  SELECT doc_id, body_match, title_match, candidate_id, newer, action, action IN ('index', 'replace') AS needs_indexing, CASE action WHEN 'take_over' THEN 'indexed' WHEN 'outdate' THEN 'outdated' ELSE 'pending' END AS incoming_status,
+   CASE WHEN action IN ('take_over', 'replace') THEN 'outdated' END AS existing_status, CASE WHEN action = 'outdate' THEN candidate_id END AS duplicate_of, CASE WHEN action = 'take_over' THEN chunk_count END AS taken_chunks FROM a""")
+def verdict_q(spark, sf):
+    counts = packs(spark, sf).select("doc_id", F.col("n_chunks").alias("chunk_count"))
+    return verdict(dedup_results(spark, sf), created(spark, sf).join(counts, "doc_id", "left").fillna(0, ["chunk_count"]))
