@@ -1,10 +1,11 @@
 """Equi-joins on bucket keys that survive hot buckets.
 
 Copies are collapsed before a join (one row per distinct sketch with the number of its documents), so
-a group of copies is one row whatever its size. A bucket that is still large is cut: its right side is
-dealt to several parts by hash and its left side repeated to all of them, so every pair is compared
-exactly once and no task holds a whole hot bucket. Pairs are tested inside the join and reduced to one
-row per left side by the partial aggregation of the same stage; they are never written or shuffled.
+a group of copies is one row whatever its size. A bucket that is still large becomes a grid: both sides
+are dealt into blocks by hash and repeated along the other side's blocks, so every pair meets exactly
+once and a task compares two blocks, never a whole hot bucket. Pairs are tested inside the join and
+reduced to one row per left side by the partial aggregation of the same stage; they are never written
+or shuffled.
 """
 
 from __future__ import annotations
@@ -12,26 +13,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Right-side rows of one bucket that one task compares.
-BUCKET_ROWS = 20_000
+#: Rows of one block of a bucket.
+BLOCK_ROWS = 10_000
 
 
-def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], deal_by: str, condition: Column,
-                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Inner join on ``keys`` and ``condition`` (on columns of both sides, which must differ in name)."""
-    hot = right.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bucket_rows).select(
-        *keys, F.ceil(F.col("_n") / bucket_rows).cast("int").alias("_parts"))
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = right.join(hot, keys, "left").withColumn(
-        "_part", F.pmod(F.xxhash64(deal_by), parts).cast("int")).drop("_parts")
-    repeated = left.join(hot, keys, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return repeated.join(dealt, [*keys, "_part"]).filter(condition).drop("_part")
+def _blocks(side: DataFrame, keys: list[str], name: str, block_rows: int) -> DataFrame:
+    return side.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > block_rows).select(
+        *keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
 
 
-def collapse(docs: DataFrame, sketch: list[str]) -> DataFrame:
-    """One row per distinct sketch: (sketch..., n_docs, first_doc)."""
-    return docs.groupBy(*sketch).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str,
+                condition: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inner join on ``keys`` and ``condition`` (on columns of both sides, which must differ in name).
+
+    The table of hot buckets has at most rows / block_rows entries; whether it is broadcast is left to
+    the size check of the optimizer.
+    """
+    hot = _blocks(left, keys, "_lb", block_rows).join(_blocks(right, keys, "_rb", block_rows), keys, "full_outer")
+
+    def dealt(side: DataFrame, ident: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+        marked = side.join(hot, keys, "left")
+        return marked.withColumn(own_block, F.pmod(F.xxhash64(ident), F.coalesce(own, F.lit(1))).cast("int")).withColumn(
+            other_block, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_lb", "_rb")
+
+    a = dealt(left, left_id, "_lb", "_rb", "_i", "_j")
+    b = dealt(right, right_id, "_rb", "_lb", "_j", "_i")
+    return a.join(b, [*keys, "_i", "_j"]).filter(condition).drop("_i", "_j")
+
+
+def collapse(docs: DataFrame, keys: list[str], carry: list[str] = ()) -> DataFrame:
+    """One row per distinct key: (keys..., n_docs, first_doc, carried columns that are equal within a key)."""
+    return docs.groupBy(*keys).agg(
+        F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), *[F.any_value(c).alias(c) for c in carry])
 
 
 def copy_partner(docs: DataFrame, groups: DataFrame, sketch: list[str]) -> DataFrame:

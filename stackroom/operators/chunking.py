@@ -54,7 +54,7 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int, min_chars: int = MIN_
     """Windows, short ones dropped and the rest renumbered, all inside the document's row."""
     keep = [c for c in docs.columns if c != "text"]
     kept = let(words(F.col("text")), lambda ws: F.filter(
-        word_windows(ws, size, overlap), lambda t: F.length(strip(t)) >= min_chars))
+        word_windows(ws, size, overlap), lambda t: F.length(t) >= min_chars))
     rows = docs.select(*keep, kept.alias("all"))
     return rows.select(*keep, F.size("all").alias("total_chunks"), F.posexplode("all").alias("chunk_index", "text"))
 

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.sketches import MINHASH_SIZE, jaccard_estimate, minhash_band_keys
 from ..functions.text import ws_tokens
+from ..session import staged
 from .banding import bucket_join, collapse, copy_partner
 from .titles import similar_titles
 
@@ -21,6 +22,9 @@ from .titles import similar_titles
 PRIME = 2**61 - 1
 SEED = 42
 
+# Packed low bits of a signature.
+PER_WORD, NIBBLE_WORDS = 15, 9
+
 JACCARD, TITLE, FLOOR = 0.65, 0.85, 0.25
 
 
@@ -65,23 +69,43 @@ def signatures(tokens: pa.ListArray, family: list[tuple[int, int]]) -> np.ndarra
 
 
 def minhash128(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
-    """(ids..., signature) over the set of white-space tokens, without a shuffle."""
+    """(ids..., signature, nibbles) over the set of white-space tokens, without a shuffle.
+
+    ``nibbles`` packs the lowest four bits of every position, fifteen to a long: comparing those bounds
+    the number of equal positions from above at the price of a few integer operations.
+    """
     family = hash_family()
     source = df.select(*ids, F.array_distinct(ws_tokens(F.col(text))).alias("tokens"))
-    schema = T.StructType([*[source.schema[c] for c in ids], T.StructField("signature", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*[source.schema[c] for c in ids], T.StructField("signature", T.ArrayType(T.LongType())),
+                           T.StructField("nibbles", T.ArrayType(T.LongType()))])
+
+    def lists(matrix: np.ndarray) -> pa.Array:
+        offsets = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], type=pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(batch.schema.get_field_index("tokens"))
-            matrix = signatures(tokens, family).astype(np.int64)
-            offsets = pa.array(np.arange(len(batch) + 1) * len(family), type=pa.int32())
+            matrix = signatures(batch.column(batch.schema.get_field_index("tokens")), family).astype(np.int64)
+            low = np.zeros((len(matrix), NIBBLE_WORDS * PER_WORD), dtype=np.int64)
+            low[:, :matrix.shape[1]] = matrix & 15
+            low = low.reshape(-1, NIBBLE_WORDS, PER_WORD) @ (16 ** np.arange(PER_WORD, dtype=np.int64))
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))], names=[*ids, "signature"])
+            yield pa.RecordBatch.from_arrays([*arrays, lists(matrix), lists(low)], names=[*ids, "signature", "nibbles"])
 
     return source.mapInArrow(run, schema)
 
 
+def at_least(share: float, a: str, b: str, low_a: str, low_b: str) -> Column:
+    """Jaccard estimate of two signatures >= share, testing the packed nibbles first."""
+    seven, eight = (sum(d << (4 * i) for i in range(PER_WORD)) for d in (7, 8))
+    differ = []
+    for i in range(NIBBLE_WORDS):
+        x = f"(get({low_a}, {i}) ^ get({low_b}, {i}))"
+        differ.append(f"bit_count(((({x} & {seven}L) + {seven}L) | {x}) & {eight}L)")
+    bound = F.expr(" + ".join(differ)) <= MINHASH_SIZE - int(np.ceil(share * MINHASH_SIZE - 1e-9))
+    return bound & (jaccard_estimate(F.col(a), F.col(b)) >= share)
+
+
 def band_rows(sig: DataFrame, *keep) -> DataFrame:
     return sig.select(*keep, F.posexplode("keys").alias("band_index", "band_key"))
 
@@ -90,6 +114,11 @@ def with_keys(sig: DataFrame) -> DataFrame:
     return sig.withColumn("keys", minhash_band_keys(F.col("signature")))
 
 
+def with_id(sig: DataFrame) -> DataFrame:
+    """Add a digest of the signature, a short key for grouping copies."""
+    return sig.withColumn("sig_id", F.md5(F.array_join("signature", ",")))
+
+
 def _first_shared(index: str, a: str, b: str):
     """True in the first band two signatures share, so a pair counts once."""
     return ~F.exists(F.zip_with(F.slice(a, F.lit(1), F.col(index)), F.slice(b, F.lit(1), F.col(index)),
@@ -98,45 +127,50 @@ def _first_shared(index: str, a: str, b: str):
 
 def candidate_counts(sig: DataFrame) -> DataFrame:
     """(doc_id, n_candidates): other documents of the knowledge base agreeing in a whole band."""
-    groups = with_keys(collapse(sig, ["kb_id", "signature"])).withColumn("gid", F.col("first_doc"))
-    left = band_rows(groups, "kb_id", "gid", F.col("keys").alias("a_keys"))
-    right = band_rows(groups, "kb_id", F.col("gid").alias("other"), F.col("keys").alias("b_keys"), "n_docs")
-    pairs = bucket_join(left, right, ["kb_id", "band_index", "band_key"], "other", _first_shared("band_index", "a_keys", "b_keys"))
-    near = pairs.groupBy(F.col("gid").alias("_gid")).agg(F.sum("n_docs").alias("near"))
-    members = sig.select("doc_id", "kb_id", "signature").join(groups.select("kb_id", "signature", "gid"), ["kb_id", "signature"])
-    return members.join(near, F.col("gid") == F.col("_gid")).select("doc_id", (F.col("near") - 1).alias("n_candidates"))
+    sig = with_id(sig)
+    groups = staged(with_keys(collapse(sig, ["kb_id", "sig_id"], ["signature"])).drop("signature"))
+    left = band_rows(groups, "kb_id", "sig_id", F.col("keys").alias("a_keys"))
+    right = band_rows(groups, "kb_id", F.col("sig_id").alias("other"), F.col("keys").alias("b_keys"), "n_docs")
+    pairs = bucket_join(left, right, ["kb_id", "band_index", "band_key"], "sig_id", "other",
+                        _first_shared("band_index", "a_keys", "b_keys"))
+    near = pairs.groupBy("kb_id", "sig_id").agg(F.sum("n_docs").alias("near"))
+    return sig.select("doc_id", "kb_id", "sig_id").join(near, ["kb_id", "sig_id"]).select(
+        "doc_id", (F.col("near") - 1).alias("n_candidates"))
 
 
 def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR) -> DataFrame:
-    """Stage two for every document: (doc_id, candidate_id, jaccard, title_sim) of the best passing one.
+    """Stage two for every document: (doc_id, candidate_id, jaccard) of the best passing candidate.
 
-    sig (doc_id, kb_id, title, signature). A candidate passes with ``jaccard``, or with a title at
-    least ``title`` alike and at least ``floor``; the highest Jaccard wins, it must exceed 0, and the
-    smaller id wins a tie. Copies pass with 1 and need no comparison.
+    sig (doc_id, kb_id, title, signature, nibbles). A candidate passes with ``jaccard``, or with a
+    title at least ``title`` alike and at least ``floor``; the highest Jaccard wins, it must exceed 0,
+    and the smaller id wins a tie. Copies pass with 1 and need no comparison.
     """
-    groups = with_keys(collapse(sig, ["kb_id", "signature"]))
-    docs = copy_partner(sig, groups.select("kb_id", "signature", "n_docs", "first_doc"), ["kb_id", "signature"])
+    sig = with_id(sig)
+    keys = ["kb_id", "sig_id"]
+    groups = staged(with_keys(collapse(sig, keys, ["signature", "nibbles"])))
+    docs = copy_partner(sig.select("doc_id", "title", *keys), groups.select(*keys, "n_docs", "first_doc"), keys)
     copies = docs.filter(F.col("n_docs") > 1).select(
         "doc_id", F.col("copy_of").alias("candidate_id"), F.lit(1.0).alias("jaccard"))
     score = jaccard_estimate(F.col("a_sig"), F.col("b_sig"))
 
+    def passing(share: float) -> Column:
+        return (F.col("doc_id") != F.col("other")) & at_least(share, "a_sig", "b_sig", "a_low", "b_low") & (score > 0)
+
     def best(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("doc_id").agg(F.min(F.struct((-score).alias("neg"), F.col("other").alias("id"))).alias("b"))
 
-    left = band_rows(groups.filter(F.col("n_docs") == 1), "kb_id", F.col("first_doc").alias("doc_id"),
-                     F.col("signature").alias("a_sig"))
-    right = band_rows(groups, "kb_id", F.col("first_doc").alias("other"), F.col("signature").alias("b_sig"))
-    body = best(bucket_join(left, right, ["kb_id", "band_index", "band_key"], "other",
-                            (F.col("doc_id") != F.col("other")) & (score >= jaccard)))
+    mine = [F.col("first_doc").alias("doc_id"), F.col("signature").alias("a_sig"), F.col("nibbles").alias("a_low")]
+    theirs = [F.col("first_doc").alias("other"), F.col("signature").alias("b_sig"), F.col("nibbles").alias("b_low")]
+    lonely = groups.filter(F.col("n_docs") == 1)
+    body = best(bucket_join(band_rows(lonely, "kb_id", *mine), band_rows(groups, "kb_id", *theirs),
+                            ["kb_id", "band_index", "band_key"], "doc_id", "other", passing(jaccard)))
 
     # Title candidates: documents meet through pairs of distinct similar titles.
-    titled = collapse(sig, ["kb_id", "title", "signature"])
-    alike = similar_titles(sig.select("kb_id", "title", "doc_id"), title)
-    singles = docs.filter(F.col("n_docs") == 1).select("doc_id", "kb_id", "title", F.col("signature").alias("a_sig"))
-    asked = singles.join(alike.select("kb_id", "title", "other_title"), ["kb_id", "title"]).drop("title")
-    offered = titled.select("kb_id", F.col("title").alias("other_title"), F.col("first_doc").alias("other"),
-                            F.col("signature").alias("b_sig"))
-    by_title = best(bucket_join(asked, offered, ["kb_id", "other_title"], "other",
-                                (F.col("doc_id") != F.col("other")) & (score >= floor) & (score > 0)))
+    titled = collapse(sig, ["kb_id", "title", "sig_id"], ["signature", "nibbles"])
+    alike = similar_titles(sig, title).select("kb_id", "title", "other_title")
+    asked = lonely.select("kb_id", *mine).join(sig.select("doc_id", "title"), "doc_id").join(
+        alike, ["kb_id", "title"]).drop("title")
+    offered = titled.select("kb_id", F.col("title").alias("other_title"), *theirs)
+    by_title = best(bucket_join(asked, offered, ["kb_id", "other_title"], "doc_id", "other", passing(floor)))
     found = body.unionByName(by_title).groupBy("doc_id").agg(F.min("b").alias("b"))
     return copies.unionByName(found.select("doc_id", F.col("b.id").alias("candidate_id"), (-F.col("b.neg")).alias("jaccard")))

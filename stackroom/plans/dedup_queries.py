@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sketches as Z
-from ..functions.text import let, strip, title_hash, trigram_set, words
+from ..functions.text import let, title_hash, trigram_set, words
 from ..operators import confirm as C
 from ..operators import minhash as M
 from ..operators import simhash as H
@@ -13,7 +13,7 @@ from ..operators.chunking import word_windows
 from ..operators.embed import embed_arrays
 from ..operators.titles import similar_titles
 from ..operators.verdict import cascade, resolve_newer, verdict
-from ..session import spread
+from ..session import spread, staged
 from ..sources.tables import documents, table
 from . import sqlbits as S
 from .registry import query
@@ -30,20 +30,20 @@ def fingerprints(spark, sf):
     """(doc_id, kb_id, title_hash, simhash)"""
     docs = texts(spark, sf)
     titles = docs.select("doc_id", title_hash(F.col("title")).alias("title_hash"))
-    return H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id")
+    return staged(H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id"))
 
 
 def signatures(spark, sf):
     """(doc_id, kb_id, title, signature)"""
-    return M.minhash128(texts(spark, sf), "doc_id", "kb_id", "title")
+    return staged(M.minhash128(texts(spark, sf), "doc_id", "kb_id", "title"))
 
 
 def packs(spark, sf, size=100, overlap=10):
     """(doc_id, n_chunks, vecs): unit vectors of all chunks of a document in its row."""
     kept = let(words(F.col("text")), lambda ws: F.filter(
-        word_windows(ws, size, overlap), lambda t: F.length(strip(t)) >= 30))
+        word_windows(ws, size, overlap), lambda t: F.length(t) >= 30))
     rows = texts(spark, sf).select("doc_id", kept.alias("texts"))
-    return embed_arrays(rows, "texts", "vecs").select("doc_id", F.size("vecs").alias("n_chunks"), "vecs")
+    return staged(embed_arrays(rows, "texts", "vecs").select("doc_id", F.size("vecs").alias("n_chunks"), "vecs"))
 
 
 def created(spark, sf):
@@ -129,7 +129,7 @@ def simhash_bands(spark, sf):
 
 @query("simhash_candidates", f"WITH {SIM} SELECT fp.doc_id, count(candidate_id) AS n_candidates FROM fp LEFT JOIN near USING (doc_id) GROUP BY fp.doc_id")
 def simhash_candidates(spark, sf):
-    return H.candidate_counts(H.simhash64(texts(spark, sf), "doc_id", "kb_id"))
+    return H.candidate_counts(staged(H.simhash64(texts(spark, sf), "doc_id", "kb_id")))
 
 
 @query("simhash_match", f"WITH {SIM} SELECT * FROM stage1")
@@ -149,7 +149,7 @@ def split_bands(spark, sf):
 
 @query("minhash_candidates", f"WITH {SIG_DOCS}, pairs AS (SELECT DISTINCT a.doc_id, b.doc_id AS c FROM mb a JOIN mb b USING (kb_id, band_index, band_key) WHERE a.doc_id <> b.doc_id) SELECT docs.doc_id, count(c) AS n_candidates FROM docs LEFT JOIN pairs USING (doc_id) GROUP BY docs.doc_id")
 def minhash_candidates(spark, sf):
-    return M.candidate_counts(signatures(spark, sf).select("doc_id", "kb_id", "signature"))
+    return M.candidate_counts(signatures(spark, sf))
 
 
 @query("jaccard_estimate", f"WITH {SIG_DOCS} SELECT a.doc_id, {_JL.format(a='a.s', b='b.s')} AS jaccard FROM sig a JOIN sig b ON b.doc_id = a.doc_id + 1")
@@ -222,8 +222,8 @@ def dedup_results(spark, sf):
     """(doc_id, body_match, title_match, candidate_id) of the whole cascade for every document."""
     docs = texts(spark, sf).filter(F.col("connector_id") != CODE_SOURCE)
     titles = docs.select("doc_id", title_hash(F.col("title")).alias("title_hash"))
-    fp = H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id")
-    sig = M.minhash128(docs, "doc_id", "kb_id", "title")
+    fp = staged(H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id"))
+    sig = staged(M.minhash128(docs, "doc_id", "kb_id", "title"))
     found = cascade(H.simhash_match(fp), M.minhash_match(sig), confirm_fn(spark, sf))
     skipped = documents(spark, sf).filter(F.col("connector_id") == CODE_SOURCE).select(
         "doc_id", F.lit("none").alias("body_match"), F.lit("unknown").alias("title_match"),
