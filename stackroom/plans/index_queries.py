@@ -147,16 +147,16 @@ def orphan_chunks(spark, sf):
 
 
 
-@query("transfer_ownership", f"""WITH {CAT}, {_TURNS}, pr AS (SELECT doc_id AS old_id, doc_id + 500 AS new_id FROM cat WHERE status = 'indexed' AND chunk_count > 3 AND doc_id < 500 AND doc_id + 500 IN (SELECT doc_id FROM cat)),
+@query("transfer_ownership", f"""WITH {CAT}, {_TURNS}, pr AS (SELECT min(doc_id) AS old_id, max(doc_id) AS new_id FROM cat WHERE status = 'indexed' GROUP BY kb_id, title HAVING count(*) > 1),
   after AS (SELECT c.doc_id, CASE WHEN o.old_id IS NOT NULL THEN 'outdated' WHEN w.new_id IS NOT NULL THEN 'indexed' ELSE c.status END AS status, CASE WHEN w.new_id IS NOT NULL THEN oc.chunk_count ELSE c.chunk_count END AS chunk_count, o.new_id AS duplicate_of
     FROM cat c LEFT JOIN pr o ON o.old_id = c.doc_id LEFT JOIN pr w ON w.new_id = c.doc_id LEFT JOIN cat oc ON oc.doc_id = w.old_id),
   moved AS (SELECT coalesce(new_id, doc_id) AS doc_id, count(*) AS n_moved FROM turns LEFT JOIN pr ON old_id = doc_id GROUP BY 1)
   SELECT a.doc_id, status, chunk_count, duplicate_of, coalesce(n_moved, 0) AS n_turns FROM after a LEFT JOIN moved USING (doc_id)""")
 def transfer_ownership(spark, sf):
     cat = catalog(spark, sf).withColumn("duplicate_of", F.lit(None).cast("bigint"))
-    older = cat.filter((F.col("status") == "indexed") & (F.col("chunk_count") > 3) & (F.col("doc_id") < 500)).select(
-        F.col("doc_id").alias("old_id"), (F.col("doc_id") + 500).alias("new_id"))
-    pairs = older.join(cat.select(F.col("doc_id").alias("new_id")), "new_id", "left_semi")
+    pairs = cat.filter(F.col("status") == "indexed").groupBy("kb_id", "title").agg(
+        F.min("doc_id").alias("old_id"), F.max("doc_id").alias("new_id")).filter(
+        F.col("old_id") != F.col("new_id")).select("old_id", "new_id")
     moved, after = I.transfer_ownership(turns(spark, sf), cat, pairs)
     n = moved.groupBy("doc_id").agg(F.count("*").alias("n_turns"))
     return after.join(n, "doc_id", "left").select(
