@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import let
 from ..functions.vectors import dot, unit
-from .topk import ranked, running_best
+from .topk import column, ranked, running_best
 
 #: Most query vectors broadcast at once (8192 x 1024 doubles are 64 MB).
 SLAB = 8192
@@ -54,15 +56,15 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, slab: int = SLAB)
         matrix = _unit_rows(np.array(rows["vec"].tolist(), dtype="float64")) if len(ids) else np.zeros((0, 1))
         shared = spark.sparkContext.broadcast((ids, matrix))
 
-        def run(batches):
-            q_ids, q = shared.value
-            if not len(q_ids):
-                return
-            yield from running_best(
-                batches, k, q_ids,
-                lambda b: (q @ _unit_rows(np.array(b["vec"].tolist(), dtype="float64")).T, None))
+        def score(batch: pa.RecordBatch):
+            flat = column(batch, "vec").flatten().to_numpy(zero_copy_only=False)
+            return shared.value[1] @ _unit_rows(flat.reshape(batch.num_rows, -1)).T, None
 
-        return chunks.mapInPandas(run, schema)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(shared.value[0]):
+                yield from running_best(batches, k, shared.value[0], score)
+
+        return chunks.mapInArrow(run, schema)
 
     hits = reduce(DataFrame.unionByName, [one(p) for p in slabs_of(queries, slab)])
     return ranked(hits, k)

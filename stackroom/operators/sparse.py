@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_counts, word_tokens
+from ..session import staged
 from .dense import _result_schema, slabs_of
-from .topk import ranked, running_best
+from .topk import column, ranked, running_best
 
 #: Most queries whose term weights are broadcast at once.
 SLAB = 2048
@@ -32,20 +34,62 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(n / df) + F.lit(1.0)
 
 
-def query_weights(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def counted_chunks(chunks: DataFrame) -> DataFrame:
+    """(kb_id, chunk_id, tokens, tfs): the sparse vectors of a chunk table, stored once."""
+    return staged(chunks.select("kb_id", "chunk_id", token_counts(word_tokens(F.col("text"))).alias("t")).select(
+        "kb_id", "chunk_id", F.col("t.token").alias("tokens"), F.col("t.tf").alias("tfs")))
+
+
+def query_weights(queries: DataFrame, counted: DataFrame) -> DataFrame:
     """(query_id, kb_id, token, weight): query frequency times IDF in each knowledge base.
 
     Document frequencies are counted only for tokens some query uses, with a partial count on the
     map side, so a token held by a third of the corpus still shuffles one row per task.
     """
     terms = sparse_tf(queries, "query_id").select("query_id", "token", "tf")
-    seen = sparse_tf(chunks, "kb_id").join(terms.select("token").distinct(), "token", "left_semi")
+    seen = counted.select("kb_id", F.explode("tokens").alias("token")).join(
+        terms.select("token").distinct(), "token", "left_semi")
     freq = seen.groupBy("kb_id", "token").agg(F.count("*").alias("df"))
-    size = chunks.groupBy("kb_id").agg(F.count("*").alias("n"))
+    size = counted.groupBy("kb_id").agg(F.count("*").alias("n"))
     return terms.join(freq, "token").join(size, "kb_id").select(
         "query_id", "kb_id", "token", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("weight"))
 
 
+def _csr(lists: dict[str, tuple[list, list]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """(token -> number, offsets, queries, weights) of the query postings of one knowledge base."""
+    sizes = [len(at) for at, _ in lists.values()]
+    return ({t: i for i, t in enumerate(lists)}, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64),
+            np.array([q for at, _ in lists.values() for q in at], dtype=np.int64),
+            np.array([w for _, ws in lists.values() for w in ws], dtype=np.float64))
+
+
+def _scores(batch: pa.RecordBatch, n_queries: int, postings: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Score block (queries x chunks of the batch) and which pairs share a token."""
+    tokens = column(batch, "tokens")
+    lengths = np.diff(tokens.offsets.to_numpy())
+    chunk_of = np.repeat(np.arange(batch.num_rows), lengths)
+    words = tokens.flatten().dictionary_encode()
+    codes, vocabulary = words.indices.to_numpy(), words.dictionary.to_pylist()
+    tf = column(batch, "tfs").flatten().to_numpy().astype(np.float64)
+    kb_of = column(batch, "kb_id").to_numpy(zero_copy_only=False)
+    scores = np.zeros(n_queries * batch.num_rows)
+    for kb in set(kb_of.tolist()):
+        if kb not in postings:
+            continue
+        number, offsets, queries, weights = postings[kb]
+        known = np.array([number.get(w, -1) for w in vocabulary], dtype=np.int64)[codes]
+        at = np.flatnonzero((known >= 0) & (kb_of[chunk_of] == kb))
+        term = known[at]
+        n = offsets[term + 1] - offsets[term]
+        # Every kept token meets all queries of its posting list: positions inside the flat lists.
+        source = np.repeat(np.arange(len(at)), n)
+        flat = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[term], n)
+        target = queries[flat] * batch.num_rows + chunk_of[at][source]
+        scores += np.bincount(target, weights=weights[flat] * tf[at][source], minlength=len(scores))
+    block = scores.reshape(n_queries, batch.num_rows)
+    return block, block > 0
+
+
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, slab: int = SLAB) -> DataFrame:
     """Best k chunks per (query, kb) by the sum of weight x term frequency over shared tokens.
 
@@ -53,38 +97,27 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, slab: int = SLAB)
     """
     spark = chunks.sparkSession
     schema = _result_schema(queries, chunks)
-    counted = chunks.select("kb_id", "chunk_id", token_counts(word_tokens(F.col("text"))).alias("t")).select(
-        "kb_id", "chunk_id", F.col("t.token").alias("tokens"), F.col("t.tf").alias("tfs"))
+    counted = counted_chunks(chunks)
 
     def one(part: DataFrame) -> DataFrame:
-        rows = query_weights(part, chunks).toPandas()
+        rows = query_weights(part, counted).toPandas()
         ids = np.array(sorted(rows["query_id"].unique()))
         position = {q: i for i, q in enumerate(ids)}
-        lists: dict = defaultdict(lambda: ([], []))
-        for q, kb, token, weight in zip(rows["query_id"], rows["kb_id"], rows["token"], rows["weight"]):
-            at, w = lists[(kb, token)]
-            at.append(position[q])
-            w.append(weight)
-        shared = spark.sparkContext.broadcast(
-            (ids, {key: (np.array(at), np.array(w)) for key, (at, w) in lists.items()}))
-
-        def run(batches):
-            q_ids, postings = shared.value
-            if not len(q_ids):
-                return
+        grouped = rows.groupby(["kb_id", "token"], sort=False)
+        tables: dict = {}
+        for (kb, token), g in grouped:
+            tables.setdefault(kb, {})[token] = ([position[q] for q in g["query_id"]], g["weight"].tolist())
+        shared = spark.sparkContext.broadcast((ids, {kb: _csr(t) for kb, t in tables.items()}))
 
-            def score(batch):
-                scores = np.zeros((len(q_ids), len(batch)))
-                for col, (kb, tokens, tfs) in enumerate(zip(batch["kb_id"], batch["tokens"], batch["tfs"])):
-                    for token, tf in zip(tokens, tfs):
-                        found = postings.get((kb, token))
-                        if found is not None:
-                            scores[found[0], col] += found[1] * tf
-                return scores, scores > 0
+        def score(batch: pa.RecordBatch):
+            q_ids, postings = shared.value
+            return _scores(batch, len(q_ids), postings)
 
-            yield from running_best(batches, k, q_ids, score)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if len(shared.value[0]):
+                yield from running_best(batches, k, shared.value[0], score)
 
-        return counted.mapInPandas(run, schema)
+        return counted.mapInArrow(run, schema)
 
     hits = reduce(DataFrame.unionByName, [one(p) for p in slabs_of(queries, slab)])
     return ranked(hits, k)

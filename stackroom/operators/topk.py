@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,24 +46,26 @@ def block_best(scores: np.ndarray, hit: np.ndarray | None, kb: np.ndarray, k: in
 
 
 def running_best(
-    batches: Iterator[pd.DataFrame], k: int, query_ids: np.ndarray,
-    score: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray | None]],
-) -> Iterator[pd.DataFrame]:
+    batches: Iterator[pa.RecordBatch], k: int, query_ids: np.ndarray,
+    score: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray | None]],
+) -> Iterator[pa.RecordBatch]:
     """Best k rows per (query, kb) over all batches of one task."""
     kept: pd.DataFrame | None = None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
         scores, hit = score(batch)
         scores = np.round(scores, TIE_DIGITS)
-        kb = batch["kb_id"].to_numpy()
+        kb, chunk_ids = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("kb_id", "chunk_id"))
         q, c = block_best(scores, hit, kb, k)
-        rows = pd.DataFrame({
-            "query_id": query_ids[q], "kb_id": kb[c],
-            "chunk_id": batch["chunk_id"].to_numpy()[c], "score": scores[q, c]})
+        rows = pd.DataFrame({"query_id": query_ids[q], "kb_id": kb[c], "chunk_id": chunk_ids[c], "score": scores[q, c]})
         kept = best_rows(rows if kept is None else pd.concat([kept, rows]), k)
     if kept is not None:
-        yield kept
+        yield pa.RecordBatch.from_pandas(kept, preserve_index=False)
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
 def ranked(hits: DataFrame, k: int, keys: tuple[str, ...] = ("query_id", "kb_id")) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.parents import auto_merge
 from ..operators.rerank import rerank
 from ..operators.retrieval import drop_orphans, fan_out, response_meta, tool_result
 from ..operators.sparse import sparse_topk
-from ..session import spread
+from ..session import spread, staged
 from ..sources.tables import documents, passages, table, vectors
 from . import sqlbits as S
 from .registry import query
@@ -43,17 +43,19 @@ def centroid_hits(spark, sf, k=K):
     return dense_topk(centroids(spark, sf), vectors(spark, sf), k)
 
 
-def sparse_hits(spark, sf, k=K):
-    return sparse_topk(passages(spark, sf), search_chunks(spark, sf), k)
+def sparse_hits(spark, sf, k=K, chunks=None):
+    return sparse_topk(passages(spark, sf), search_chunks(spark, sf) if chunks is None else chunks, k)
 
 
-def dense_text_hits(spark, sf, k=K):
-    chunks = dense_embed(search_chunks(spark, sf).select("kb_id", "chunk_id", "text"), keep_text=False)
-    return dense_topk(dense_embed(passages(spark, sf), keep_text=False), chunks, k)
+def dense_text_hits(spark, sf, k=K, chunks=None):
+    source = search_chunks(spark, sf) if chunks is None else chunks
+    embedded = dense_embed(source.select("kb_id", "chunk_id", "text"), keep_text=False)
+    return dense_topk(dense_embed(passages(spark, sf), keep_text=False), embedded, k)
 
 
 def hybrid_hits(spark, sf, k=K):
-    return hybrid_rsf(dense_text_hits(spark, sf, k), sparse_hits(spark, sf, k), k)
+    chunks = staged(search_chunks(spark, sf).select("kb_id", "chunk_id", "text"))
+    return hybrid_rsf(dense_text_hits(spark, sf, k, chunks), sparse_hits(spark, sf, k, chunks), k)
 
 
 def with_list_no(hits):
@@ -226,9 +228,9 @@ rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(re
 
 def merged_sparse(spark, sf):
     """Merged sparse list with the texts of query and chunk."""
-    top = similarity_merge(sparse_hits(spark, sf), K)
-    texts = search_chunks(spark, sf).select("chunk_id", "doc_id", "title", "connector_id", "text")
-    return top.join(texts, "chunk_id").join(
+    chunks = staged(search_chunks(spark, sf).select("kb_id", "chunk_id", "doc_id", "title", "connector_id", "text"))
+    top = similarity_merge(sparse_hits(spark, sf, chunks=chunks), K)
+    return top.join(chunks.drop("kb_id"), "chunk_id").join(
         passages(spark, sf).select("query_id", F.col("text").alias("query")), "query_id")
 
 
