@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that only track the visitor.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
@@ -110,7 +111,7 @@ def glob_regex(pattern: str) -> str:
         elif ch == "?":
             out.append(".")
         elif close > 0:
-            body = pattern[i + 1:close].replace("\\", "\\\\")
+            body = pattern[i + 1:close].replace("\\", "\\\\").replace("[", "\\[")
             out.append("[" + ("^" + body[1:] if body[0] == "!" else body) + "]")
             i = close
         else:

@@ -19,6 +19,8 @@ CHUNK_OVERLAP = 128
 MIN_CHUNK_CHARS = 30
 CODE_MAX_CHARS = 1500
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
+
 
 def word_windows(ws: Column, size: int, overlap: int) -> Column:
     """Array of texts: windows of ``size`` words, each starting ``size - overlap`` after the last."""
@@ -78,7 +80,7 @@ def sentence_units(text: Column, size: int) -> Column:
         lambda i: F.slice(ws, i * size + 1, F.lit(size))))))
 
 
-@F.pandas_udf("array<struct<start:int,n:int>>")
+@F.pandas_udf(SPANS)
 def _pack_units(lengths: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     """Greedy packing of unit lengths; a chunk starts with the trailing units that fit the overlap."""
     def pack(units, limit, shared):
@@ -166,7 +168,7 @@ def chunk_semantic(docs: DataFrame, threshold: float = 0.8, fn: Embedder | None
 
 # ---- code ----------------------------------------------------------------------------------------
 
-@F.pandas_udf("array<struct<start:int,n:int>>")
+@F.pandas_udf(SPANS)
 def _pack_lines(lines: pd.Series, limit: pd.Series) -> pd.Series:
     """Line packing by characters; ``lines`` holds (length, opens a block) per line."""
     def pack(rows, most):

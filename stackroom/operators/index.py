@@ -17,9 +17,17 @@ def replace_by_key(current: DataFrame, fresh: DataFrame, changed: DataFrame, key
     return current.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
+def _tombstones(buckets: DataFrame, like: DataFrame) -> DataFrame:
+    """Rows without a key, one per bucket, in the columns of ``like``."""
+    return buckets.select(*[
+        F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
 def write_table(df: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> None:
-    """First write of an index table, laid out in hash buckets of the key."""
-    df.withColumn("bucket", bucket(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    """First write of an index table, laid out in hash buckets of the key. An empty table keeps its schema."""
+    rows = df.withColumn("bucket", bucket(key, buckets))
+    first = df.sparkSession.range(1).select(F.lit(0).alias("bucket"))
+    rows.unionByName(_tombstones(first, rows)).repartition("bucket").write.partitionBy("bucket").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -39,8 +47,7 @@ def replace_in_table(spark: SparkSession, path: str, fresh: DataFrame, changed:
     stored = spark.read.parquet(path)
     kept = stored.join(touched, "bucket", "left_semi").join(keys, key, "left_anti").filter(F.col(key).isNotNull())
     new = kept.unionByName(fresh.withColumn("bucket", bucket(key, buckets)))
-    blank = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema if f.name != "bucket"], "bucket")
-    new.unionByName(blank).repartition("bucket").write.mode("overwrite").option(
+    new.unionByName(_tombstones(touched, new)).repartition("bucket").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

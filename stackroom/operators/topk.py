@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Scores closer than this many digits count as ties, broken by chunk id.
 TIE_DIGITS = 9
+#: Scores computed at a time: a block of all queries of a slab and some chunks.
+BLOCK_CELLS = 100_000
 
 
 def best_rows(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -51,9 +53,8 @@ def running_best(
 ) -> Iterator[pa.RecordBatch]:
     """Best k rows per (query, kb) over all batches of one task."""
     kept: pd.DataFrame | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    step = max(16, BLOCK_CELLS // max(1, len(query_ids)))
+    for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
         scores, hit = score(batch)
         scores = np.round(scores, TIE_DIGITS)
         kb, chunk_ids = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("kb_id", "chunk_id"))
