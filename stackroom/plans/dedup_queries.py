@@ -95,14 +95,15 @@ cand AS (SELECT doc_id, candidate_id, max(sim) AS sim FROM (SELECT doc_id, candi
 jac AS (SELECT c.doc_id, c.candidate_id, sim, {_JL.format(a='a.s', b='b.s')} AS j FROM cand c JOIN sig a ON a.doc_id = c.doc_id JOIN sig b ON b.doc_id = c.candidate_id),
 stage2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, candidate_id) AS r FROM jac WHERE j > 0 AND (j >= 0.65 OR (sim >= 0.85 AND j >= 0.25))) WHERE r = 1)"""
 PACKS = f"""{S.windows(100, 10)}, pc AS (SELECT doc_id, pos, text FROM windows WHERE length({S.strip('text')}) >= 30),
-{S.hashed('pc', 'doc_id, pos', 'pv')}, pn AS (SELECT doc_id, count(*) AS n FROM pc GROUP BY doc_id)"""
+{S.hashed('pc', 'doc_id, pos', 'pv0')}, pv AS MATERIALIZED (SELECT * FROM pv0), pn AS (SELECT doc_id, count(*) AS n FROM pc GROUP BY doc_id)"""
 
 
 def coverage_sql(pairs: str) -> str:
     """cov (doc_id, candidate_id, score) for the pairs of a relation."""
     return f"""rat AS (SELECT p.doc_id, p.candidate_id, a.n AS na, CASE WHEN a.n > 0 AND c.n > 0 THEN least(a.n, c.n) / greatest(a.n, c.n) ELSE 0 END AS ratio
   FROM {pairs} p LEFT JOIN pn a ON a.doc_id = p.doc_id LEFT JOIN pn c ON c.doc_id = p.candidate_id),
-mat AS (SELECT r.doc_id, r.candidate_id, x.pos, round(sum(x.v * y.v), 9) AS c, y.pos AS cpos FROM rat r JOIN pv x ON x.doc_id = r.doc_id JOIN pv y ON y.doc_id = r.candidate_id AND y.b = x.b WHERE ratio >= 0.75 GROUP BY ALL),
+rx AS MATERIALIZED (SELECT r.doc_id, r.candidate_id, x.pos, x.b, x.v FROM rat r JOIN pv x ON x.doc_id = r.doc_id WHERE ratio >= 0.75),
+mat AS (SELECT rx.doc_id, rx.candidate_id, rx.pos, round(sum(rx.v * y.v), 9) AS c, y.pos AS cpos FROM rx JOIN pv y ON y.doc_id = rx.candidate_id AND y.b = rx.b GROUP BY ALL),
 top AS (SELECT doc_id, candidate_id, pos, max(c) AS c FROM mat WHERE c >= 0.5 GROUP BY ALL),
 tot AS (SELECT doc_id, candidate_id, sum(c) AS c FROM top GROUP BY ALL),
 cov AS (SELECT r.doc_id, r.candidate_id, CASE WHEN ratio < 0.75 THEN 0 ELSE coalesce(c, 0) / na * ratio END AS score FROM rat r LEFT JOIN tot USING (doc_id, candidate_id))"""

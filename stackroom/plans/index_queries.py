@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..operators import minhash as M
 from ..operators import simhash as H
 from ..operators.chunking import fixed_chunks
 from ..session import shared_dir, spread
@@ -14,7 +15,7 @@ from ..sources.tables import documents, status_events, table
 from . import sqlbits as S
 from .catalog_queries import CAT, CONN, catalog, connectors
 from .chunk_queries import tree_of, tree_sql
-from .dedup_queries import FP
+from .dedup_queries import FP, SIG_DOCS
 from .registry import query
 
 # Documents that changed or went: by their last event.
@@ -77,6 +78,18 @@ def band_sink(spark, sf):
     return through_table(spark, rows(docs.withColumn("text", F.reverse("text"))), rows(docs), docs.select("doc_id"))
 
 
+@query("minhash_sink", f"WITH {SIG_DOCS} SELECT doc_id, kb_id, CAST(i AS INTEGER) AS position, s[i + 1] AS hash FROM sig, range(128) r(i)")
+def minhash_sink(spark, sf):
+    """Signatures of an older state (texts reversed) are stored, then every document is upserted."""
+    docs = spread(documents(spark, sf).select("doc_id", "kb_id", "text"), "doc_id")
+
+    def rows(d):
+        return M.minhash128(d, "doc_id", "kb_id").select("doc_id", "kb_id", "signature")
+
+    stored = through_table(spark, rows(docs.withColumn("text", F.reverse("text"))), rows(docs), docs.select("doc_id"))
+    return stored.select("doc_id", "kb_id", F.posexplode("signature").alias("position", "hash"))
+
+
 @query("parent_sink", f"WITH {tree_sql()}, {LAST} SELECT doc_id, chunk_id, parent_id, CAST(level AS INTEGER) AS level, md5(text) AS text_md5 FROM tree WHERE level < 2 AND doc_id NOT IN (SELECT doc_id FROM lastev WHERE et = 'purchase')")
 def parent_sink(spark, sf):
     """Ancestors of every document; those of deleted documents are replaced by nothing."""
