@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import let
+
 # Query parameters that only track the visitor.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref")
 
@@ -20,7 +22,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Unicode composition; ASCII values are sent to Python as nulls and kept as they are."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(_nfc(let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t))), text)
 
 
 def scheme(url: Column) -> Column:
@@ -51,30 +53,33 @@ def percent_encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def canonical_query(raw: Column) -> Column:
-    """Parameters without tracking, composed, sorted by name; values of one name keep their order."""
+def _decoded_query(raw: Column) -> Column:
+    """Decoded parameters without tracking as one string: names, values and pairs parted by control characters."""
     parts = F.filter(F.split(raw, "&"), lambda p: p != "")
     decoded = F.transform(parts, lambda p: F.struct(
         percent_decode(F.regexp_extract(p, r"^([^=]*)", 1), True).alias("k"),
-        percent_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1), True).alias("v"))).cast(
-        "array<struct<k:string,v:string>>")
+        percent_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1), True).alias("v")).cast("struct<k:string,v:string>"))
     kept = F.filter(decoded, lambda p: ~p["k"].isin(*TRACKING))
-    # One string, so that composition is a single call: names and values parted by control characters.
-    flat = nfc(F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("\x1f"), p["v"])), "\x1e"))
+    return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("\x1f"), p["v"])), "\x1e")
+
+
+def _encoded_query(flat: Column) -> Column:
+    """Parameters sorted by name; values of one name keep their order."""
     pairs = F.array_sort(F.transform(F.filter(F.split(flat, "\x1e"), lambda p: p != ""), lambda p, i: F.struct(
         F.split_part(p, F.lit("\x1f"), F.lit(1)).alias("k"), i.alias("i"),
-        F.split_part(p, F.lit("\x1f"), F.lit(2)).alias("v"))).cast("array<struct<k:string,i:int,v:string>>"))
+        F.split_part(p, F.lit("\x1f"), F.lit(2)).alias("v")).cast("struct<k:string,i:int,v:string>")))
     return F.array_join(F.transform(
         pairs, lambda p: F.concat(percent_encode(p["k"]), F.lit("="), percent_encode(p["v"]))), "&")
 
 
 def normalize_web_uri(url: Column) -> Column:
+    """Canonical form of a page address. The two calls to Python stay outside the bound expressions."""
     clean = F.regexp_replace(url, r"[\t\r\n]", "")
-    decoded = nfc(F.regexp_replace(percent_decode(path(clean), False), "/+$", ""))
-    params = canonical_query(query(clean))
+    decoded = nfc(let(clean, lambda c: F.regexp_replace(percent_decode(path(c), False), "/+$", "")))
+    params = nfc(let(clean, lambda c: _decoded_query(query(c))))
     return F.concat(
-        F.lit("https://"), F.lower(netloc(clean)), F.when(decoded == "", "/").otherwise(decoded),
-        F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)))
+        F.lit("https://"), F.lower(netloc(clean)), let(decoded, lambda d: F.when(d == "", "/").otherwise(d)),
+        let(_encoded_query(params), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
 
 
 def normalize_repo_uri(url: Column) -> Column:
@@ -144,20 +149,31 @@ def in_scope(url: Column, seeds: list[str], include: list[str] = (), exclude: li
     return ~any_glob(exclude) & inside & wanted
 
 
-def resolve_link(base: Column, href: Column) -> Column:
-    """Absolute form of a link found on a page."""
-    root = F.concat(scheme(base), F.lit("://"), netloc(base))
-    here = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(F.when(here == "", "/").otherwise(here), r"[^/]*$", "")
-    joined = F.when(href.startswith("/"), href).otherwise(F.concat(folder, href))
-    tail = F.regexp_extract(joined, r"^[^?#]*(.*)$", 1)
-    segments = F.split(F.regexp_extract(joined, r"^([^?#]*)", 1), "/")
-    walked = F.aggregate(
+def _walk(segments: Column) -> Column:
+    """Path segments with ``.`` and ``..`` resolved."""
+    return F.aggregate(
         F.slice(segments, F.lit(2), F.size(segments)), F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    trailing = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(walked) > 0), "/").otherwise("")
-    relative = F.concat(root, F.lit("/"), F.array_join(walked, "/"), trailing, tail)
+
+
+def resolve_link(base: Column, href: Column) -> Column:
+    """Absolute form of a link found on a page."""
+    here = F.regexp_extract(base, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)", 1)
+
+    def root() -> Column:
+        return F.concat(scheme(base), F.lit("://"), netloc(base))
+
+    def rendered(joined: Column) -> Column:
+        return let(F.split(F.regexp_extract(joined, r"^([^?#]*)", 1), "/"), lambda segs: let(_walk(segs), lambda w: F.concat(
+            root(), F.lit("/"), F.array_join(w, "/"),
+            F.when(F.element_at(segs, -1).isin(".", "..") & (F.size(w) > 0), "/").otherwise(""),
+            F.regexp_extract(joined, r"^[^?#]*(.*)$", 1))))
+
+    def relative(h: Column) -> Column:
+        folder = let(here, lambda p: F.regexp_replace(F.when(p == "", "/").otherwise(p), r"[^/]*$", ""))
+        return let(F.when(h.startswith("/"), h).otherwise(F.concat(folder, h)), rendered)
+
     return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href).when(
         href.startswith("//"), F.concat(scheme(base), F.lit(":"), href)).when(
-        href.startswith("?"), F.concat(root, here, href)).otherwise(relative)
+        href.startswith("?"), F.concat(root(), here, href)).otherwise(let(href, relative))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: Rows of one block of a bucket.
 BLOCK_ROWS = 10_000
 
@@ -29,7 +31,9 @@ def bucket_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str
     The table of hot buckets has at most rows / block_rows entries; whether it is broadcast is left to
     the size check of the optimizer.
     """
-    hot = _blocks(left, keys, "_lb", block_rows).join(_blocks(right, keys, "_rb", block_rows), keys, "full_outer")
+    hot = staged(_blocks(left, keys, "_lb", block_rows).join(_blocks(right, keys, "_rb", block_rows), keys, "full_outer"))
+    if hot.isEmpty():
+        return left.join(right, keys).filter(condition)
 
     def dealt(side: DataFrame, ident: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
         marked = side.join(hot, keys, "left")

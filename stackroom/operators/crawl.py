@@ -76,12 +76,16 @@ def stage_pages(pages: DataFrame, catalog: DataFrame, min_chars: int = 200, poli
 
 
 def link_table(pages: DataFrame) -> DataFrame:
-    """(source, pos, target): canonical http links of every page, in page order."""
-    found = pages.select(U.normalize_web_uri(F.col("url")).alias("source"),
-                         F.posexplode(H.links(F.col("html"))).alias("pos", "href"))
-    absolute = found.select("source", "pos", U.resolve_link(F.col("source"), F.col("href")).alias("link")).filter(
-        F.col("link").startswith("http"))
-    return absolute.select("source", "pos", U.normalize_web_uri(F.col("link")).alias("target"))
+    """(source, pos, target): canonical http links of every page, in page order.
+
+    The steps are written out in between: each uses the value of the one before many times, and the
+    optimizer would repeat its whole expression at every use.
+    """
+    found = staged(pages.select(U.normalize_web_uri(F.col("url")).alias("source"),
+                                F.posexplode(H.links(F.col("html"))).alias("pos", "href")))
+    absolute = staged(found.select("source", "pos", U.resolve_link(F.col("source"), F.col("href")).alias("link")))
+    return absolute.filter(F.col("link").startswith("http")).select(
+        "source", "pos", U.normalize_web_uri(F.col("link")).alias("target"))
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, depth: int, max_pages: int, scope: Column) -> DataFrame:

@@ -167,7 +167,7 @@ def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE
 
     # Title candidates: documents meet through pairs of distinct similar titles.
     titled = collapse(sig, ["kb_id", "title", "sig_id"], ["signature", "nibbles"])
-    alike = similar_titles(sig, title).select("kb_id", "title", "other_title")
+    alike = staged(similar_titles(sig, title).select("kb_id", "title", "other_title"))
     asked = lonely.select("kb_id", *mine).join(sig.select("doc_id", "title"), "doc_id").join(
         alike, ["kb_id", "title"]).drop("title")
     offered = titled.select("kb_id", F.col("title").alias("other_title"), *theirs)
