@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import mixing, simhash_pivots
+from . import decontaminate, language_id, mixing, quality, simhash_pivots, toxicity_crf
 
 QUERIES: dict[str, Query] = {}
 
@@ -32,3 +32,25 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_pivots.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@op("op3_quality_divergence")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents")).drop("n_chars")
+
+
+@op("op5_decontaminate")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@op("op7_language_id")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.predict(_table(spark, folder, "documents"))
+
+
+@op("op10_toxicity_crf")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_crf.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
