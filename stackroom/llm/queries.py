@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import decontaminate, language_id, mixing, quality, simhash_pivots, toxicity_crf
+from . import (decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots, suffix_dedup,
+               toxicity_crf, url_rules)
 
 QUERIES: dict[str, Query] = {}
 
@@ -34,6 +35,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@op("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
 @op("op3_quality_divergence")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents")).drop("n_chars")
@@ -54,3 +60,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @op("op10_toxicity_crf")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_crf.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@op("op8_line_dedup", line_dedup.SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
+    cut = line_dedup.drop_boilerplate(docs.withColumn("n_lines", F.size(F.split("text", "\n")).cast("long")),
+                                      "source", dropped="n_dropped")
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@op("op9_url_rules", url_rules.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(_table(spark, folder, "pages"))
