@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import (decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots, suffix_dedup,
-               toxicity_crf, url_rules)
+from . import (chunk_dedup, decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots,
+               suffix_dedup, toxicity_crf, url_rules)
 
 QUERIES: dict[str, Query] = {}
 
@@ -73,3 +73,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @op("op9_url_rules", url_rules.SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(_table(spark, folder, "pages"))
+
+
+@op("op6_chunk_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_dedup.remove_repeats(_table(spark, folder, "documents"))
