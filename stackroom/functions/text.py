@@ -10,7 +10,6 @@ WORD = r"[\p{L}\p{N}_]+"
 ALNUM = r"[\p{L}\p{N}]+"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
-TITLE_CHARS = 80
 ERROR_CHARS = 500
 
 
@@ -99,7 +98,7 @@ def title_hash(title: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, TITLE_CHARS)
+    return F.split_part(text, F.lit("\n"), F.lit(1))
 
 
 def truncate_error(message: Column) -> Column:

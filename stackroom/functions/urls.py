@@ -20,6 +20,19 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else [unicodedata.normalize("NFC", x) for x in v])
+
+
+def nfc_each(texts: Column) -> Column:
+    """:func:`nfc` of every entry of an array."""
+    def foreign(a: Column) -> Column:
+        return F.when(F.exists(a, lambda t: t.rlike(r"[^\x00-\x7F]")), a)
+
+    return F.coalesce(_nfc_each(let(texts, foreign)), texts)
+
+
 def nfc(text: Column) -> Column:
     """Unicode composition; ASCII values are sent to Python as nulls and kept as they are."""
     return F.coalesce(_nfc(let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t))), text)
@@ -54,20 +67,20 @@ def percent_encode(text: Column) -> Column:
 
 
 def _decoded_query(raw: Column) -> Column:
-    """Decoded parameters without tracking as one string: names, values and pairs parted by control characters."""
+    """Decoded parameters without tracking as one array: name, value, name, value, ..."""
     parts = F.filter(F.split(raw, "&"), lambda p: p != "")
     decoded = F.transform(parts, lambda p: F.struct(
         percent_decode(F.regexp_extract(p, r"^([^=]*)", 1), True).alias("k"),
         percent_decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1), True).alias("v")).cast("struct<k:string,v:string>"))
     kept = F.filter(decoded, lambda p: ~p["k"].isin(*TRACKING))
-    return F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("\x1f"), p["v"])), "\x1e")
+    return F.flatten(F.transform(kept, lambda p: F.array(p["k"], p["v"])))
 
 
 def _encoded_query(flat: Column) -> Column:
     """Parameters sorted by name; values of one name keep their order."""
-    pairs = F.array_sort(F.transform(F.filter(F.split(flat, "\x1e"), lambda p: p != ""), lambda p, i: F.struct(
-        F.split_part(p, F.lit("\x1f"), F.lit(1)).alias("k"), i.alias("i"),
-        F.split_part(p, F.lit("\x1f"), F.lit(2)).alias("v")).cast("struct<k:string,i:int,v:string>")))
+    names = F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i % 2 == 0) & (i < F.size(flat)))
+    pairs = F.array_sort(F.transform(names, lambda i: F.struct(
+        F.get(flat, i).alias("k"), i.alias("i"), F.get(flat, i + 1).alias("v")).cast("struct<k:string,i:int,v:string>")))
     return F.array_join(F.transform(
         pairs, lambda p: F.concat(percent_encode(p["k"]), F.lit("="), percent_encode(p["v"]))), "&")
 
@@ -76,10 +89,10 @@ def normalize_web_uri(url: Column) -> Column:
     """Canonical form of a page address. The two calls to Python stay outside the bound expressions."""
     clean = F.regexp_replace(url, r"[\t\r\n]", "")
     decoded = nfc(let(clean, lambda c: F.regexp_replace(percent_decode(path(c), False), "/+$", "")))
-    params = nfc(let(clean, lambda c: _decoded_query(query(c))))
+    params = nfc_each(let(clean, lambda c: _decoded_query(query(c))))
     return F.concat(
         F.lit("https://"), F.lower(netloc(clean)), let(decoded, lambda d: F.when(d == "", "/").otherwise(d)),
-        let(_encoded_query(params), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+        let(let(params, _encoded_query), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
 
 
 def normalize_repo_uri(url: Column) -> Column:

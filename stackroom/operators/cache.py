@@ -19,7 +19,7 @@ SEMANTIC_THRESHOLD = 0.95
 
 def bucket_hash(kb_ids: Column, options: Column) -> Column:
     """Hash of the sorted knowledge bases and the effective options (a JSON text with sorted keys)."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(kb_ids), ","), F.lit("|"), options), 256)
+    return F.sha2(F.concat(F.to_json(F.array_sort(kb_ids)), F.lit("|"), options), 256)
 
 
 def query_hash(bucket: Column, query: Column) -> Column:

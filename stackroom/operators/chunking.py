@@ -272,9 +272,9 @@ def is_atomic(content_type: Column) -> Column:
 def config_violations(configs: DataFrame) -> DataFrame:
     """Bad chunking configurations with a reason: (..., sizes array<int>, overlap) -> plus ``reason``."""
     low, high = F.lit(64), F.lit(8192)
-    pairs = F.zip_with(F.slice("sizes", 1, 100), F.slice("sizes", 2, 100),
-                       lambda a, b: F.coalesce(a > b, F.lit(True)))
-    reason = F.when((F.size("sizes") > 1) & ~F.forall(pairs, lambda ok: ok), "not strictly descending").when(
+    descending = F.forall(F.sequence(F.lit(1), F.size("sizes") - 1), lambda i: F.coalesce(
+        F.get("sizes", i - 1) > F.get("sizes", i), F.lit(False)))
+    reason = F.when((F.size("sizes") > 1) & ~descending, "not strictly descending").when(
         F.exists("sizes", lambda s: (s < low) | (s > high)), "size out of range").when(
         (F.col("overlap") < 0) | (F.col("overlap") > F.array_min("sizes") * 0.15), "overlap above 15%")
     return configs.withColumn("reason", reason).filter(F.col("reason").isNotNull())

@@ -27,7 +27,8 @@ def drop_orphans(hits: DataFrame, documents: DataFrame) -> DataFrame:
 def response_meta(hits: DataFrame, requests: DataFrame, returned: DataFrame, defaults: dict) -> DataFrame:
     """One row of meta data per request; a request option wins over the setting.
 
-    requests (query_id, mode, min_score, rerank_enabled): null options take the default.
+    requests (query_id, mode, min_score, rerank_enabled): null options take the default. Requests that aren't reranked
+    get their whole merged list.
     """
     total = hits.groupBy("query_id").agg(F.count("*").alias("total_candidates"))
     shown = returned.groupBy("query_id").agg(
@@ -41,7 +42,8 @@ def response_meta(hits: DataFrame, requests: DataFrame, returned: DataFrame, def
     fallback = F.coalesce("rerank_fallback", F.lit(False))
     return joined.select(
         "query_id", F.coalesce("total_candidates", F.lit(0)).alias("total_candidates"),
-        F.coalesce("returned", F.lit(0)).alias("returned"), "search_mode", "score_threshold",
+        F.when(F.col("want"), F.coalesce("returned", F.lit(0))).otherwise(
+            F.coalesce("total_candidates", F.lit(0))).alias("returned"), "search_mode", "score_threshold",
         (F.col("want") & ~fallback).alias("reranked"), fallback.alias("rerank_fallback"),
         F.lit("miss" if defaults["cache_enabled"] else "disabled").alias("cache_status"))
 

@@ -18,7 +18,7 @@ cat AS (SELECT doc_id, kb_id, connector_id, title, {_TYPE} AS source_type, 'path
   CASE et WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'deleted' ELSE 'indexed' END AS status,
   CASE WHEN coalesce(et, 'click') = 'click' THEN n_chars // 500 END AS chunk_count, CASE WHEN {_N} < 5 OR {_N} >= 10 THEN n_chars END AS file_size,
   TIMESTAMP '{EPOCH}' + to_minutes(CAST(doc_id AS INTEGER)) AS created_at, coalesce(last_ts, TIMESTAMP '{EPOCH}' + to_minutes(CAST(doc_id AS INTEGER))) AS updated_at
-  FROM (SELECT doc_id, lang AS kb_id, source AS connector_id, left(split_part(text, chr(10), 1), 80) AS title, n_chars FROM documents) LEFT JOIN cat_ev ON user_id = doc_id)"""
+  FROM (SELECT doc_id, lang AS kb_id, source AS connector_id, split_part(text, chr(10), 1) AS title, n_chars FROM documents) LEFT JOIN cat_ev ON user_id = doc_id)"""
 CONN = f"""conn AS (SELECT connector_id, min(kb_id) AS kb_id, 'Connector ' || upper(connector_id) AS name, {_TYPE} AS source_type, CASE WHEN {_N} % 2 = 0 THEN '0 * * * *' END AS sync_schedule,
   CASE {_N} % 4 WHEN 0 THEN 'running' ELSE 'idle' END AS sync_status, CASE {_N} % 5 WHEN 0 THEN 'paused' WHEN 1 THEN 'error' ELSE 'active' END AS status, min(created_at) AS created_at,
   CASE WHEN {_N} % 3 <> 0 THEN max(created_at) END AS last_synced_at, CASE WHEN {_N} % 8 <> 0 THEN max(updated_at) END AS sync_started_at FROM cat GROUP BY connector_id)"""
@@ -40,7 +40,7 @@ def catalog(spark, sf):
         F.max_by("status", "event_id").alias("status"), F.max("ts").alias("last_ts"))
     chars = table(spark, sf, "documents").select(
         "doc_id", "n_chars", F.col("lang").alias("kb_id"), F.col("source").alias("connector_id"),
-        F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80).alias("title"))
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     d = chars.join(last, "doc_id", "left")
     status = F.coalesce("status", F.lit("indexed"))
     created = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))

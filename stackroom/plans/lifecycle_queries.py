@@ -87,7 +87,7 @@ def stale_sync(spark, sf):
     return L.sync_decision(connectors(spark, sf).join(F.broadcast(now)), F.col("now")).select("connector_id", "decision")
 
 
-_KEYED = f"{CAT}, rx AS (SELECT doc_id, CASE WHEN status = 'failed' AND file_size % 2 = 0 THEN 'outdated' ELSE status END AS status, CASE WHEN source_type <> 'web' THEN kb_id || '/' || doc_id END AS storage_key, md5(title) AS content_version FROM cat), lst AS (SELECT lang || '/' || doc_id AS storage_key, CASE WHEN n_chars % 2 = 0 THEN md5(left(split_part(text, chr(10), 1), 80)) ELSE 'newer' END AS etag FROM documents)"
+_KEYED = f"{CAT}, rx AS (SELECT doc_id, CASE WHEN status = 'failed' AND file_size % 2 = 0 THEN 'outdated' ELSE status END AS status, CASE WHEN source_type <> 'web' THEN kb_id || '/' || doc_id END AS storage_key, md5(title) AS content_version FROM cat), lst AS (SELECT lang || '/' || doc_id AS storage_key, CASE WHEN n_chars % 2 = 0 THEN md5(split_part(text, chr(10), 1)) ELSE 'newer' END AS etag FROM documents)"
 
 
 def stored_docs(spark, sf):
@@ -99,7 +99,7 @@ def stored_docs(spark, sf):
 
 @query("reindex_plan", f"WITH {_KEYED} SELECT doc_id, CASE WHEN status = 'outdated' THEN 'skip_outdated' WHEN status NOT IN ('indexed', 'failed') THEN 'skip_active' WHEN storage_key IS NULL THEN 'skip_no_object' WHEN etag = content_version THEN 'skip_same' ELSE 'queue' END AS decision FROM rx LEFT JOIN lst USING (storage_key) WHERE status <> 'deleted'")
 def reindex_plan(spark, sf):
-    title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
     listing = table(spark, sf, "documents").select(
         F.concat_ws("/", "lang", "doc_id").alias("storage_key"), F.when(F.col("n_chars") % 2 == 0, F.md5(title)).otherwise("newer").alias("etag"))
     return L.reindex_plan(stored_docs(spark, sf), listing).select("doc_id", "decision")

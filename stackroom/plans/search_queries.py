@@ -241,7 +241,7 @@ def rerank_q(spark, sf):
 
 
 @query("search_response", f"""WITH {RERANK}
-  SELECT item_id AS query_id, (SELECT count(*) FROM rr WHERE rr.query_id = item_id) AS total_candidates, (SELECT count(*) FROM rr WHERE rr.query_id = item_id AND position <= 3) AS returned,
+  SELECT item_id AS query_id, (SELECT count(*) FROM rr WHERE rr.query_id = item_id) AS total_candidates, (SELECT count(*) FROM rr WHERE rr.query_id = item_id AND (position <= 3 OR length(benchmark.text) % 3 = 0)) AS returned,
    CASE WHEN length(text) > 250 THEN 'similarity' ELSE 'hybrid' END AS search_mode, CASE WHEN length(text) > 250 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END AS score_threshold,
    CASE WHEN length(text) % 3 = 0 THEN false ELSE true END AS reranked, false AS rerank_fallback, 'disabled' AS cache_status FROM benchmark""")
 def search_response(spark, sf):
@@ -268,7 +268,7 @@ def tool_result_shape(spark, sf):
 # Cache entries: one per event; the text of the payload is the query, the type names the bases.
 _ENTRIES = """ent AS (SELECT event_id, props AS query, CASE event_type WHEN 'view' THEN ['en'] WHEN 'click' THEN ['de','en'] WHEN 'error' THEN ['fr','de'] WHEN 'signup' THEN ['es'] ELSE ['es','en','fr'] END AS kb_ids,
   '{"mode":"' || CASE WHEN value > 10 THEN 'hybrid' ELSE 'similarity' END || '"}' AS options, ts AS created_at FROM events),
-ent_h AS (SELECT *, sha256(array_to_string(list_sort(kb_ids), ',') || '|' || options) AS bucket_hash FROM ent),
+ent_h AS (SELECT *, sha256(CAST(to_json(list_sort(kb_ids)) AS VARCHAR) || '|' || options) AS bucket_hash FROM ent),
 entries AS (SELECT *, sha256(bucket_hash || '|' || query) AS query_hash FROM ent_h)"""
 
 

@@ -6,7 +6,7 @@ WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 DOCS = """docs AS (SELECT doc_id, lang AS kb_id, source AS connector_id,
-  left(split_part(text, chr(10), 1), 80) AS title, text FROM documents)"""
+  split_part(text, chr(10), 1) AS title, text FROM documents)"""
 
 
 def words(text: str) -> str:

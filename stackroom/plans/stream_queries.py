@@ -61,7 +61,7 @@ def read_delimited(spark, sf):
 def read_json(spark, sf):
     folder = scratch(spark, "json")
     table(spark, sf, "events").select("props").write.text(folder)
-    return R.read_json(spark, folder, schema="k bigint", lines=True).groupBy("text").agg(F.count("*").alias("n"))
+    return R.read_json(spark, folder, lines=True).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query("post_processor", f"WITH {S.DOCS} SELECT doc_id, 'txt' AS doc_type, md5(lower(text)) AS text_md5 FROM docs WHERE connector_id < 'src5' UNION ALL SELECT doc_id, 'md', md5(text) FROM docs WHERE connector_id >= 'src5' UNION ALL SELECT doc_id, 'title', md5(title) FROM docs WHERE connector_id >= 'src5'")

@@ -52,11 +52,13 @@ def delimited_text(text: Column, sep: str) -> Column:
     return F.regexp_replace(F.array_join(clean, ""), "\n+$", "")
 
 
-def read_json(spark: SparkSession, folder: str, schema: str | None = None, lines: bool = False) -> DataFrame:
-    """(path, text): JSON documents rendered as text."""
-    reader = spark.read.option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true")
-    rows = (reader.schema(schema) if schema else reader).json(folder)
-    return rows.select(F.input_file_name().alias("path"), F.to_json(F.struct(*rows.columns)).alias("text"))
+def read_json(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """(path, text): JSON documents rendered as text, with all their keys; null where a document can't be parsed.
+
+    Documents may differ in their keys, so they are read as variants: no schema, no pass to infer one.
+    """
+    rows = spark.read.text(folder, wholetext=not lines, recursiveFileLookup=True)
+    return rows.select(F.input_file_name().alias("path"), F.to_json(F.try_parse_json("value")).alias("text"))
 
 
 def html_parser(policy: str = "lenient") -> Parser:

@@ -22,6 +22,7 @@ WEB = [
     ("https://example.com/docs?utm_source=x&b=2&a=1", "https://example.com/docs?a=1&b=2"),
     ("https://example.com/a+b%2", "https://example.com/a+b%2"),
     ("https://example.com/x;p=1?q=a+b&q=&z", "https://example.com/x?q=a+b&q=&z="),
+    ("https://example.com/?q=a%1Fb&p=x%1Ey%1Ez", "https://example.com/?p=x%1Ey%1Ez&q=a%1Fb"),
 ]
 
 
@@ -103,3 +104,35 @@ def test_token_counts(spark):
 def test_dictionary_tokens(spark):
     df = spark.createDataFrame([("New York is in new york state", ["new york", "is in"])], "t string, e array<string>")
     assert df.select(X.dictionary_tokens(F.col("t"), F.col("e"))).first()[0] == ["new_york", "is_in", "new_york", "state"]
+
+
+@pytest.mark.parametrize("raw", ["caf&eacute; &#8217;t &#x27;q&#X41;", "&euro; &amp;lt; &amp;amp; &nosuch; a & b &;", "&#0; &#150; &#128512;",
+                                 "&#xD800; &#99999999;", "x&NotEqualTilde;y", "no reference"])
+def test_character_references(spark, raw):
+    import html
+
+    assert one(spark, raw, H.unescape) == html.unescape(raw).replace("\xa0", " ")
+    assert one(spark, f"<title>{raw}</title>", lambda c: H.page_title(c, F.lit("none"))) == html.unescape(raw).strip()
+
+
+def test_titles_are_whole_lines(spark):
+    line = "x" * 200
+    assert one(spark, line + "\nbody", X.first_line) == line
+
+
+def test_all_levels_of_a_configuration_are_checked(spark):
+    from stackroom.operators.chunking import config_violations
+
+    sizes = [list(range(400, 100, -1)), [*range(400, 250, -1), 251, 200], [100], [200, None]]
+    df = spark.createDataFrame([(i, s, 0) for i, s in enumerate(sizes)], "i int, sizes array<int>, overlap int")
+    assert {r["i"] for r in config_violations(df).collect()} == {1, 3}
+
+
+def test_json_keeps_every_key(spark, tmp_path):
+    from stackroom.sources.readers import read_json
+
+    (tmp_path / "a.json").write_text('{"b": [1, {"x": null}],\n "a": "\u00e9"}')
+    (tmp_path / "b.json").write_text('{"other": 1.5}')
+    (tmp_path / "c.json").write_text("not json")
+    got = {r["path"][-6:]: r["text"] for r in read_json(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": '{"a":"é","b":[1,{"x":null}]}', "b.json": '{"other":1.5}', "c.json": None}
