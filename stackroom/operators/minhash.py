@@ -174,3 +174,23 @@ def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE
     by_title = best(bucket_join(asked, offered, ["kb_id", "other_title"], "doc_id", "other", passing(floor)))
     found = body.unionByName(by_title).groupBy("doc_id").agg(F.min("b").alias("b"))
     return copies.unionByName(found.select("doc_id", F.col("b.id").alias("candidate_id"), (-F.col("b.neg")).alias("jaccard")))
+
+
+def passing_pairs(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR) -> DataFrame:
+    """(doc_id, other, jaccard): every pair that :func:`minhash_match` would let pass, for rows with different texts."""
+    rows = staged(with_keys(sig))
+    mine = [F.col("doc_id"), F.col("signature").alias("a_sig"), F.col("nibbles").alias("a_low")]
+    theirs = [F.col("doc_id").alias("other"), F.col("signature").alias("b_sig"), F.col("nibbles").alias("b_low")]
+    score = jaccard_estimate(F.col("a_sig"), F.col("b_sig"))
+
+    def passing(share: float) -> Column:
+        return (F.col("doc_id") != F.col("other")) & at_least(share, "a_sig", "b_sig", "a_low", "b_low") & (score > 0)
+
+    body = bucket_join(band_rows(rows, "kb_id", *mine), band_rows(rows, "kb_id", *theirs),
+                       ["kb_id", "band_index", "band_key"], "doc_id", "other", passing(jaccard))
+    alike = staged(similar_titles(sig, title).select("kb_id", "title", "other_title"))
+    asked = rows.select("kb_id", "title", *mine).join(alike, ["kb_id", "title"]).drop("title")
+    by_title = bucket_join(asked, rows.select("kb_id", F.col("title").alias("other_title"), *theirs),
+                           ["kb_id", "other_title"], "doc_id", "other", passing(floor))
+    return body.select("doc_id", "other", score.alias("jaccard")).unionByName(
+        by_title.select("doc_id", "other", score.alias("jaccard"))).distinct()

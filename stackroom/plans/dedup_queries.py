@@ -11,6 +11,7 @@ from ..operators import minhash as M
 from ..operators import simhash as H
 from ..operators.chunking import word_windows
 from ..operators.embed import embed_arrays
+from ..operators.replay import replay
 from ..operators.titles import similar_titles
 from ..operators.verdict import cascade, resolve_newer, verdict
 from ..session import spread, staged
@@ -252,11 +253,83 @@ def resolve_newer_q(spark, sf):
         "doc_id", "existing_id", resolve_newer(F.col("doc_created_at"), F.col("existing_at")).alias("newer"))
 
 
-@query("verdict", f"""WITH {FULL_DOCS}, dd AS (SELECT d.doc_id, {_DATE} AS at, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count FROM documents d LEFT JOIN pn USING (doc_id)),
-  v AS (SELECT r.*, o.chunk_count, CASE WHEN r.candidate_id IS NULL THEN NULL WHEN o.at IS NULL OR m.at > o.at THEN 'incoming' ELSE 'existing' END AS newer FROM {_RES} r LEFT JOIN dd m ON m.doc_id = r.doc_id LEFT JOIN dd o ON o.doc_id = r.candidate_id),
-  a AS (SELECT *, CASE WHEN body_match = 'none' THEN 'index' WHEN body_match = 'identical_level' AND title_match = 'changed' AND newer = 'incoming' THEN 'take_over' WHEN body_match = 'similar' AND newer = 'incoming' THEN 'replace' ELSE 'outdate' END AS action FROM v)
+# ---- sequential decisions -----------------------------------------------------------------------
+
+# What each document finds among earlier ones, whatever their state; then one step per document.
+REPLAY = f"""WITH RECURSIVE {SIM}, {SIG.replace("@docs@", "")}, {STAGE2},
+s1 AS (SELECT doc_id, candidate_id, distance, same FROM near WHERE distance <= 10 AND candidate_id < doc_id),
+s2 AS (SELECT doc_id, candidate_id, j FROM jac WHERE j > 0 AND (j >= 0.65 OR (sim >= 0.85 AND j >= 0.25)) AND candidate_id < doc_id),
+doubt AS (SELECT doc_id, candidate_id FROM s1 WHERE distance > 3 UNION SELECT doc_id, candidate_id FROM s2),
+{PACKS}, {coverage_sql('doubt')},
+sure AS (SELECT cov.doc_id, cov.candidate_id, {_BODY} AS body_match, CASE WHEN a.title_hash = b.title_hash THEN 'same' ELSE 'changed' END AS title_match
+  FROM cov JOIN fp a ON a.doc_id = cov.doc_id JOIN fp b ON b.doc_id = cov.candidate_id),
+found AS (SELECT doc_id, candidate_id, 1 AS stage, CAST(distance AS DOUBLE) AS score, 'identical_level' AS body_match, CASE WHEN same THEN 'same' ELSE 'changed' END AS title_match FROM s1 WHERE distance <= 3
+  UNION ALL SELECT doc_id, candidate_id, 1, CAST(distance AS DOUBLE), body_match, title_match FROM s1 JOIN sure USING (doc_id, candidate_id) WHERE distance > 3
+  UNION ALL SELECT doc_id, candidate_id, 2, -j, body_match, title_match FROM s2 JOIN sure USING (doc_id, candidate_id)),
+dated AS (SELECT doc_id, {_DATE} AS at FROM documents),
+pairs AS MATERIALIZED (SELECT f.*, CASE WHEN b.at IS NULL OR a.at > b.at THEN 'incoming' ELSE 'existing' END AS newer FROM found f JOIN dated a ON a.doc_id = f.doc_id JOIN dated b ON b.doc_id = f.candidate_id),
+arrivals AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+steps AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::BIGINT AS candidate_id, 'none' AS body_match, 'unknown' AS title_match, 'index' AS action, []::BIGINT[] AS alive
+  UNION ALL
+  SELECT n, doc_id, CASE WHEN body <> 'none' THEN b.candidate_id END, body, CASE WHEN body = 'none' THEN 'unknown' ELSE b.title_match END, action,
+    CASE action WHEN 'index' THEN list_append(alive, doc_id) WHEN 'outdate' THEN alive ELSE list_append(list_filter(alive, lambda x: x <> b.candidate_id), doc_id) END
+  FROM (SELECT *, CASE WHEN body = 'none' THEN 'index' WHEN body = 'identical_level' AND b.title_match = 'changed' AND b.newer = 'incoming' THEN 'take_over'
+      WHEN body = 'similar' AND b.newer = 'incoming' THEN 'replace' ELSE 'outdate' END AS action
+    FROM (SELECT *, coalesce(b.body_match, 'none') AS body FROM (
+      SELECT o.n, o.doc_id, any_value(s.alive) AS alive, min({{'stage': p.stage, 'score': p.score, 'candidate_id': p.candidate_id, 'body_match': p.body_match, 'title_match': p.title_match, 'newer': p.newer}}) FILTER (list_contains(s.alive, p.candidate_id)) AS b
+      FROM steps s JOIN arrivals o ON o.n = s.n + 1 LEFT JOIN pairs p ON p.doc_id = o.doc_id GROUP BY o.n, o.doc_id)))),
+replayed AS (SELECT s.doc_id, s.candidate_id, s.body_match, s.title_match, s.action, r.doc_id AS replaced_by, s.action <> 'outdate' AND r.doc_id IS NULL AS live
+  FROM steps s LEFT JOIN steps r ON r.candidate_id = s.doc_id AND r.action IN ('take_over', 'replace') WHERE s.n > 0)"""
+
+
+def replayed(spark, sf):
+    docs = texts(spark, sf)
+    grouped = docs.groupBy("kb_id", F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("group"))
+    of_doc = docs.select("doc_id", "kb_id", F.sha2("text", 256).alias("digest")).join(grouped, ["kb_id", "digest"]).select(
+        "doc_id", "group")
+    lead = docs.join(grouped.select(F.col("group").alias("doc_id")), "doc_id", "left_semi")
+    fp = staged(H.simhash64(lead, "doc_id", "kb_id"))
+    stage1 = staged(H.similar_pairs(fp))
+    stage2 = staged(M.passing_pairs(M.minhash128(lead, "doc_id", "kb_id", "title")))
+    titles = staged(documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash")))
+    doubt = stage1.where(f"distance > {H.IDENTICAL}").select("doc_id", F.col("other").alias("candidate_id")).union(
+        stage2.select("doc_id", "other")).distinct()
+    score = F.round("score", 9)
+    judged = C.chunk_coverage(doubt, packs(spark, sf)).select("doc_id", F.col("candidate_id").alias("other"),
+                                                              C.body_match(score).alias("confirmed"))
+    found = stage1.select("doc_id", "other", F.lit(1).alias("stage"), F.col("distance").cast("double").alias("score")).union(
+        stage2.select("doc_id", "other", F.lit(2), -F.col("jaccard")))
+    mine = titles.withColumnRenamed("title_hash", "mine")
+    theirs = titles.select(F.col("doc_id").alias("other"), F.col("title_hash").alias("theirs"))
+    sure = (F.col("stage") == 1) & (F.col("score") <= H.IDENTICAL)
+    pairs = found.join(judged, ["doc_id", "other"], "left").join(mine, "doc_id").join(theirs, "other").select(
+        F.col("doc_id").alias("group"), "other", "stage", "score",
+        F.when(sure, "identical_level").otherwise(F.col("confirmed")).alias("body_match"),
+        F.when(F.col("mine") == F.col("theirs"), "same").otherwise("changed").alias("title_match"))
+    return replay(of_doc.join(created(spark, sf), "doc_id"), pairs)
+
+
+@query("dedup_replay", f"{REPLAY} SELECT * FROM replayed")
+def dedup_replay(spark, sf):
+    return replayed(spark, sf)
+
+
+@query("dedup_survivors", f"{REPLAY} SELECT lang AS kb_id, sha256(text) AS digest, count(*) AS n_docs, CAST(count_if(live) AS BIGINT) AS n_live, CAST(count_if(replaced_by IS NOT NULL) AS BIGINT) AS n_replaced FROM replayed JOIN documents USING (doc_id) GROUP BY ALL HAVING count(*) > 1")
+def dedup_survivors(spark, sf):
+    """Groups of byte-identical documents: how many stay live, and how many gave way to another text."""
+    digest = documents(spark, sf).select("doc_id", "kb_id", F.sha2("text", 256).alias("digest"))
+    return replayed(spark, sf).join(digest, "doc_id").groupBy("kb_id", "digest").agg(
+        F.count("*").alias("n_docs"), F.count_if("live").alias("n_live"),
+        F.count_if(F.col("replaced_by").isNotNull()).alias("n_replaced")).where("n_docs > 1")
+
+
+@query("verdict", f"""{REPLAY}, dd AS (SELECT d.doc_id, {_DATE} AS at, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count FROM documents d LEFT JOIN pn USING (doc_id)),
+  v AS (SELECT r.doc_id, r.body_match, r.title_match, r.candidate_id, r.action, o.chunk_count, CASE WHEN r.candidate_id IS NULL THEN NULL WHEN o.at IS NULL OR m.at > o.at THEN 'incoming' ELSE 'existing' END AS newer FROM replayed r LEFT JOIN dd m ON m.doc_id = r.doc_id LEFT JOIN dd o ON o.doc_id = r.candidate_id)
   SELECT doc_id, body_match, title_match, candidate_id, newer, action, action IN ('index', 'replace') AS needs_indexing, CASE action WHEN 'take_over' THEN 'indexed' WHEN 'outdate' THEN 'outdated' ELSE 'pending' END AS incoming_status,
-   CASE WHEN action IN ('take_over', 'replace') THEN 'outdated' END AS existing_status, CASE WHEN action = 'outdate' THEN candidate_id END AS duplicate_of, CASE WHEN action = 'take_over' THEN chunk_count END AS taken_chunks FROM a""")
+   CASE WHEN action IN ('take_over', 'replace') THEN 'outdated' END AS existing_status, CASE WHEN action = 'outdate' THEN candidate_id END AS duplicate_of, CASE WHEN action = 'take_over' THEN chunk_count END AS taken_chunks FROM v""")
 def verdict_q(spark, sf):
+    """Each document against what is indexed when it arrives, so a group of copies keeps one."""
     counts = packs(spark, sf).select("doc_id", F.col("n_chunks").alias("chunk_count"))
-    return verdict(dedup_results(spark, sf), created(spark, sf).join(counts, "doc_id", "left").fillna(0, ["chunk_count"]))
+    matches = replayed(spark, sf).select("doc_id", "candidate_id", "body_match", "title_match")
+    return verdict(matches, created(spark, sf).join(counts, "doc_id", "left").fillna(0, ["chunk_count"]))
