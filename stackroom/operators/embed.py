@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +18,22 @@ Embedder = Callable[[list[str]], np.ndarray]
 DIM = 64
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:2], 16), (1.0 if int(digest[2], 16) < 8 else -1.0)
-
-
 def hash_embedder(dim: int = DIM) -> Embedder:
-    """Signed feature hashing of word tokens, scaled to length 1. Needs no model."""
+    """Signed feature hashing of word tokens, scaled to length 1. Needs no model.
+
+    A batch's tokens are counted as one array; each different token is hashed once.
+    """
     word = re.compile(r"\w+")
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        for row, text in enumerate(texts):
-            slots = [_slot(t) for t in word.findall((text or "").lower())]
-            if slots:
-                buckets, signs = zip(*slots)
-                out[row] = np.bincount(np.array(buckets) % dim, weights=signs, minlength=dim)
+        tokens = [word.findall((t or "").lower()) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+        coded = pa.array(chain.from_iterable(tokens), pa.string()).dictionary_encode()
+        digests = [hashlib.md5(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+        first = np.frombuffer(b"".join(d[:2] for d in digests), np.uint8).reshape(-1, 2)
+        at = coded.indices.to_numpy()
+        bucket, sign = first[:, 0].astype(np.int64) % dim, np.where(first[:, 1] < 0x80, 1.0, -1.0)
+        out = np.bincount(row * dim + bucket[at], sign[at], len(texts) * dim).reshape(len(texts), dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 

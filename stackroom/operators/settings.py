@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Bounds of every level of a chunk size list.
+LEAST_SIZE, MOST_SIZE = 64, 8192
 # Fixed values: (key, type, default, minimum, maximum, allowed values, overridable).
 RULES = [
     ("ingestion.max_file_size_mb", "int", "200", 1.0, 1024.0, None, True),
@@ -86,12 +88,27 @@ def violations(overrides: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("type") == "float", number.isNull()).when(
         F.col("type") == "bool", ~F.col("value").isin("true", "false")).when(
         F.col("type") == "enum", ~F.array_contains(F.split("allowed", r"\|"), F.col("value"))).otherwise(F.lit(False))
+    listed = F.from_json("value", "array<int>")
+    levels = (F.col("key") == "chunking.chunk_size") & F.col("value").startswith("[")
+    descending = F.forall(F.sequence(F.lit(1), F.greatest(F.size(listed) - 1, F.lit(1))), lambda i: F.coalesce(
+        F.get(listed, i - 1) > F.get(listed, i), F.lit(False)))
+    bad_levels = ~F.coalesce((F.size(listed) >= 2) & descending & F.forall(
+        listed, lambda s: s.between(LEAST_SIZE, MOST_SIZE)), F.lit(False))
+    typed = F.when(levels, bad_levels).otherwise(typed)
     reason = F.when(~section, "not overridable").when(F.col("type").isNull(), "unknown key").when(
         ~F.col("overridable"), "not overridable").when(typed, "bad value").when(
         F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)), "out of range")
     return j.withColumn("reason", reason).filter(F.col("reason").isNotNull()).select("kb_id", "key", "value", "reason")
 
 
+def overlap_violations(resolved: DataFrame) -> DataFrame:
+    """(kb_id, chunk_size, chunk_overlap) of knowledge bases whose effective overlap is above 15 % of their (smallest)
+    chunk size. ``resolved`` comes from :func:`resolve`."""
+    sizes = wide(resolved, ["chunking.chunk_size", "chunking.chunk_overlap"])
+    smallest = F.coalesce(F.col("chunk_size").try_cast("int"), F.array_min(F.from_json("chunk_size", "array<int>")))
+    return sizes.where(F.col("chunk_overlap").try_cast("int") > smallest * F.lit(0.15))
+
+
 def put(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """Replace all rows of the knowledge bases that send a set."""
     return current.join(fresh.select("kb_id").distinct(), "kb_id", "left_anti").unionByName(

@@ -196,6 +196,11 @@ def resolve_settings(spark, sf):
     return G.resolve(documents(spark, sf), overrides(spark, sf), G.rule_table(spark))
 
 
+@query("overlap_check", f"WITH {OVR}, {RULES}, s AS (SELECT k.kb_id, coalesce(a.value, '1024') AS chunk_size, coalesce(b.value, '128') AS chunk_overlap FROM (SELECT DISTINCT lang AS kb_id FROM documents) k LEFT JOIN ovr a ON a.kb_id = k.kb_id AND a.key = 'chunking.chunk_size' LEFT JOIN ovr b ON b.kb_id = k.kb_id AND b.key = 'chunking.chunk_overlap') SELECT * FROM s WHERE TRY_CAST(chunk_overlap AS INTEGER) > TRY_CAST(chunk_size AS INTEGER) * 0.15::DOUBLE")
+def overlap_check(spark, sf):
+    return G.overlap_violations(G.resolve(documents(spark, sf), overrides(spark, sf), G.rule_table(spark)))
+
+
 @query("validate_overrides", f"""WITH {OVR}, {RULES} SELECT kb_id, key, value, reason FROM (SELECT s.kb_id, s.key, s.value, CASE WHEN NOT (starts_with(s.key, 'ingestion.') OR starts_with(s.key, 'chunking.') OR starts_with(s.key, 'dedup.') OR starts_with(s.key, 'retrieval.')) THEN 'not overridable'
    WHEN type IS NULL THEN 'unknown key' WHEN NOT overridable THEN 'not overridable'
    WHEN (type = 'int' AND TRY_CAST(s.value AS BIGINT) IS NULL) OR (type = 'float' AND TRY_CAST(s.value AS DOUBLE) IS NULL) OR (type = 'bool' AND s.value NOT IN ('true', 'false')) OR (type = 'enum' AND NOT list_contains(string_split(allowed, '|'), s.value)) THEN 'bad value'

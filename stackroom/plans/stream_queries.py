@@ -24,14 +24,14 @@ def partition_of(column: str):
     return F.regexp_extract("path", rf"{column}=([^/]*)/", 1)
 
 
-@query("object_listing", "SELECT source, true AS has_size, true AS recent FROM documents GROUP BY source")
+@query("object_listing", "SELECT source, CAST(1 AS BIGINT) AS n_files, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes, true AS recent FROM documents GROUP BY source")
 def object_listing(spark, sf):
     """Documents written as text per source, then listed."""
     folder = scratch(spark, "objects")
     table(spark, sf, "documents").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
     listing = R.object_listing(spark, folder)
     return listing.groupBy(partition_of("source").alias("source")).agg(
-        (F.sum("size") > 0).alias("has_size"), (F.min("last_modified") > F.lit("2020-01-01").cast("timestamp")).alias("recent"))
+        F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), (F.min("last_modified") > F.lit("2020-01-01").cast("timestamp")).alias("recent"))
 
 
 @query("read_text", "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY source")

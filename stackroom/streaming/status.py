@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-STATE = "event_id bigint, status string, last_error string, error_id bigint, n bigint"
-OUT = "doc_id bigint, status string, last_error string, n_events bigint"
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the events of one document into its state; the highest event id decides, in any arrival order."""
-    at, status, error, error_at, n = state.get if state.exists else (-1, None, None, -1, 0)
-    for pdf in batches:
-        for event in pdf.itertuples():
-            n += 1
-            if event.event_id > at:
-                at, status = event.event_id, event.status
-            if event.status in ("pending", "indexed", "failed") and event.event_id > error_at:
-                error_at, error = event.event_id, (event.error[:500] if event.status == "failed" else None)
-    state.update((at, status, error, error_at, n))
-    yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "last_error": [error], "n_events": [n]})
+from pyspark.sql import functions as F
 
 
 def status_stream(events: DataFrame) -> DataFrame:
-    """events (doc_id, event_id, status, error) -> the state of each touched document after every batch."""
-    return events.groupBy("doc_id").applyInPandasWithState(
-        _advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """events (doc_id, event_id, status, error) -> the state of each touched document after every batch.
+
+    A streaming aggregation for update mode: the highest event id decides, in any arrival order. The error is that of
+    the last event that sets or clears one.
+    """
+    settles = F.when(F.col("status").isin("pending", "indexed", "failed"), F.col("event_id"))
+    error = F.when(F.col("status") == "failed", F.substring("error", 1, 500))
+    return events.groupBy("doc_id").agg(
+        F.max_by("status", "event_id").alias("status"), F.max_by(error, settles).alias("last_error"),
+        F.count("*").alias("n_events"))
 
 
 def dedup_stream(events: DataFrame, delay: str = "10 seconds") -> DataFrame:

@@ -136,3 +136,25 @@ def test_cache(spark):
     assert C.invalidate(entries)[1].first()[0] == 3
     live = C.live(entries, F.lit("2024-01-01 01:10:00").cast("timestamp"))
     assert {r.query_hash for r in live.collect()} == {"q2", "q3"}
+
+
+def test_cache_buckets_of_ids_with_commas_differ(spark):
+    from stackroom.operators import cache as C
+
+    df = spark.createDataFrame([(["a,b"],), (["a", "b"],), (["b", "a"],)], "k array<string>")
+    keys = [r[0] for r in df.select(C.bucket_hash(F.col("k"), F.lit("{}"))).collect()]
+    assert keys[0] != keys[1] and keys[1] == keys[2]
+
+
+def test_levels_and_overlap_of_settings(spark):
+    from stackroom.operators import settings as G
+
+    sent = [("k", "chunking.chunk_size", v) for v in ("[600, 200]", "[600]", "[200, 600]", "[600, 200, 32]", "[9000, 100]", "512", "9000", "[x]")]
+    rules = G.rule_table(spark)
+    bad = G.violations(spark.createDataFrame(sent, "kb_id string, key string, value string"), rules).collect()
+    assert {r["value"] for r in bad} == {"[600]", "[200, 600]", "[600, 200, 32]", "[9000, 100]", "9000", "[x]"}
+    own = [("a", "chunking.chunk_size", "[600, 200]"), ("a", "chunking.chunk_overlap", "31"), ("b", "chunking.chunk_overlap", "30"),
+           ("c", "chunking.chunk_size", "512")]
+    kbs = spark.createDataFrame([("a",), ("b",), ("c",)], "kb_id string")
+    resolved = G.resolve(kbs, spark.createDataFrame(own, "kb_id string, key string, value string"), rules)
+    assert {r["kb_id"] for r in G.overlap_violations(resolved).collect()} == {"a", "c"}
