@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows of a source that one window task numbers; more rows make more buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Slots drawn by one call.
 CHUNK_SLOTS = 1 << 16
 SEED = 20240229
@@ -159,23 +160,24 @@ class Mix:
     def taken(self) -> DataFrame:
         """Per document: (doc_id, source, size, source_size, target, taken)."""
         times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-        drawn = self.pieces().join(times, ["sid", "block"]).groupBy("row_id").agg(
+        drawn = self.pieces().join(times.hint("merge"), ["sid", "block"]).groupBy("row_id").agg(
             F.sum(F.col("length") * F.col("times")).alias("taken"))
-        return self.rows.join(drawn, "row_id", "left").select(
+        return self.rows.join(drawn.hint("merge"), "row_id", "left").select(
             "doc_id", "source", "size", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def blocks(self) -> DataFrame:
         """The mix itself: (shard, sid, source, slot, block, n_words, doc_ids, text), one row per slot."""
-        # One pass splits a text into its words and cuts them; only the cut pieces are shuffled.
-        texts = self._texts.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).drop("text")
+        # Texts travel whole and once, to their cuts; they are split into words only there, once for all cuts of a row.
         per_row = self.pieces().groupBy("row_id", "sid", "doc_id").agg(
             F.collect_list(F.struct("block", "at", "length", "skip")).alias("cuts"))
-        cut = (per_row.join(texts, "row_id").select("sid", "doc_id", F.explode(F.transform(
-            "cuts", lambda c: F.struct(c["block"].alias("block"), c["at"].alias("at"), c["length"].alias("length"),
-                                       F.array_join(F.slice("words", (c["skip"] + 1).cast("int"),
-                                                            c["length"].cast("int")), " ").alias("text")))).alias("c"))
-            .select("sid", "doc_id", "c.*"))
+        words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+        cuts = let(words, lambda ws: F.transform("cuts", lambda c: F.struct(
+            c["block"], c["at"], c["length"], F.array_join(F.slice(
+                ws, (c["skip"] + 1).cast("int"), c["length"].cast("int")), " ")).cast(
+            "struct<block:bigint,at:bigint,length:bigint,text:string>")))
+        cut = per_row.join(self._texts, "row_id").select("sid", "doc_id", F.explode(cuts).alias("c")).select(
+            "sid", "doc_id", "c.*")
         packed = cut.groupBy("sid", "block").agg(
             F.array_sort(F.collect_list(F.struct("at", "length", "doc_id", "text"))).alias("parts")).select(
             "sid", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("n_words"),
