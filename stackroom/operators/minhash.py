@@ -138,17 +138,21 @@ def candidate_counts(sig: DataFrame) -> DataFrame:
         "doc_id", (F.col("near") - 1).alias("n_candidates"))
 
 
-def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR) -> DataFrame:
+def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR,
+                  asking: DataFrame | None = None) -> DataFrame:
     """Stage two for every document: (doc_id, candidate_id, jaccard) of the best passing candidate.
 
     sig (doc_id, kb_id, title, signature, nibbles). A candidate passes with ``jaccard``, or with a
     title at least ``title`` alike and at least ``floor``; the highest Jaccard wins, it must exceed 0,
-    and the smaller id wins a tie. Copies pass with 1 and need no comparison.
+    and the smaller id wins a tie. Copies pass with 1 and need no comparison. With ``asking`` (doc_id) only those
+    documents look for a candidate, still among all.
     """
     sig = with_id(sig)
     keys = ["kb_id", "sig_id"]
     groups = staged(with_keys(collapse(sig, keys, ["signature", "nibbles"])))
     docs = copy_partner(sig.select("doc_id", "title", *keys), groups.select(*keys, "n_docs", "first_doc"), keys)
+    if asking is not None:
+        docs = docs.join(asking, "doc_id", "left_semi")
     copies = docs.filter(F.col("n_docs") > 1).select(
         "doc_id", F.col("copy_of").alias("candidate_id"), F.lit(1.0).alias("jaccard"))
     score = jaccard_estimate(F.col("a_sig"), F.col("b_sig"))
@@ -162,6 +166,8 @@ def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE
     mine = [F.col("first_doc").alias("doc_id"), F.col("signature").alias("a_sig"), F.col("nibbles").alias("a_low")]
     theirs = [F.col("first_doc").alias("other"), F.col("signature").alias("b_sig"), F.col("nibbles").alias("b_low")]
     lonely = groups.filter(F.col("n_docs") == 1)
+    if asking is not None:
+        lonely = lonely.join(asking.select(F.col("doc_id").alias("first_doc")), "first_doc", "left_semi")
     body = best(bucket_join(band_rows(lonely, "kb_id", *mine), band_rows(groups, "kb_id", *theirs),
                             ["kb_id", "band_index", "band_key"], "doc_id", "other", passing(jaccard)))
 

@@ -39,11 +39,18 @@ def signatures(spark, sf):
     return staged(M.minhash128(texts(spark, sf), "doc_id", "kb_id", "title"))
 
 
-def packs(spark, sf, size=100, overlap=10):
-    """(doc_id, n_chunks, vecs): unit vectors of all chunks of a document in its row."""
+def packs(spark, sf, size=100, overlap=10, pairs=None):
+    """(doc_id, n_chunks, vecs): unit vectors of all chunks of a document in its row.
+
+    With ``pairs`` (doc_id, candidate_id) only documents of a pair are cut and embedded.
+    """
     kept = let(words(F.col("text")), lambda ws: F.filter(
         word_windows(ws, size, overlap), lambda t: F.length(t) >= 30))
-    rows = texts(spark, sf).select("doc_id", kept.alias("texts"))
+    docs = texts(spark, sf)
+    if pairs is not None:
+        named = pairs.select("doc_id").union(pairs.select("candidate_id")).distinct()
+        docs = docs.join(named, "doc_id", "left_semi")
+    rows = docs.select("doc_id", kept.alias("texts"))
     return staged(embed_arrays(rows, "texts", "vecs").select("doc_id", F.size("vecs").alias("n_chunks"), "vecs"))
 
 
@@ -119,7 +126,7 @@ def simhash64(spark, sf):
 
 @query("hamming", f"WITH {FP} SELECT a.doc_id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS distance FROM fp a JOIN fp b ON b.doc_id = a.doc_id + 1")
 def hamming(spark, sf):
-    fp = H.simhash64(texts(spark, sf), "doc_id")
+    fp = staged(H.simhash64(texts(spark, sf), "doc_id"))
     following = fp.select((F.col("doc_id") - 1).alias("doc_id"), F.col("simhash").alias("other"))
     return fp.join(following, "doc_id").select("doc_id", Z.hamming(F.col("simhash"), F.col("other")).alias("distance"))
 
@@ -166,9 +173,9 @@ def minhash_match(spark, sf):
     return M.minhash_match(signatures(spark, sf))
 
 
-@query("trigram_similarity", f"WITH {S.DOCS}, {TITLES} SELECT kb_id, title, other_title, round(sim, 6) AS sim FROM tp WHERE sim >= 0.5")
+@query("trigram_similarity", f"WITH {S.DOCS}, {TITLES} SELECT kb_id, title, other_title, round(sim, 6) AS sim FROM tp WHERE sim >= 0.85")
 def trigram_similarity(spark, sf):
-    return similar_titles(documents(spark, sf), 0.5).withColumn("sim", F.round("sim", 6))
+    return similar_titles(documents(spark, sf), M.TITLE).withColumn("sim", F.round("sim", 6))
 
 
 @query("trigram_set", f"WITH {S.DOCS}, {TITLES} SELECT kb_id, title, array_to_string(list_sort(g), '|') AS trigrams FROM tg")
@@ -179,8 +186,8 @@ def trigram_set_q(spark, sf):
 
 @query("chunk_coverage", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT doc_id, candidate_id, round(score, 6) AS score FROM cov")
 def chunk_coverage(spark, sf):
-    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
-    return C.chunk_coverage(pairs, packs(spark, sf)).withColumn("score", F.round("score", 6))
+    pairs = staged(M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id"))
+    return C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)).withColumn("score", F.round("score", 6))
 
 
 _BODY = "CASE WHEN round(score, 9) >= 0.95 THEN 'identical_level' WHEN round(score, 9) >= 0.75 THEN 'similar' ELSE 'none' END"
@@ -188,8 +195,8 @@ _BODY = "CASE WHEN round(score, 9) >= 0.95 THEN 'identical_level' WHEN round(sco
 
 @query("score_to_body_match", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT {_BODY} AS body_match, count(*) AS n FROM cov GROUP BY ALL")
 def score_to_body_match(spark, sf):
-    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
-    return C.chunk_coverage(pairs, packs(spark, sf)).groupBy(
+    pairs = staged(M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id"))
+    return C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)).groupBy(
         C.body_match(F.round("score", 9)).alias("body_match")).agg(F.count("*").alias("n"))
 
 
@@ -200,12 +207,12 @@ stage3 AS (SELECT c.doc_id, score, body_match, CASE WHEN body_match = 'none' THE
 
 def confirm_fn(spark, sf):
     titles = documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash"))
-    return lambda pairs: C.chunk_confirm(C.chunk_coverage(pairs, packs(spark, sf)), titles)
+    return lambda pairs: C.chunk_confirm(C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)), titles)
 
 
 @query("chunk_confirm", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')}, {_CONFIRM} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3")
 def chunk_confirm(spark, sf):
-    pairs = M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id")
+    pairs = staged(M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id"))
     return confirm_fn(spark, sf)(pairs).withColumn("score", F.round("score", 6))
 
 
@@ -226,7 +233,9 @@ def dedup_results(spark, sf):
     titles = docs.select("doc_id", title_hash(F.col("title")).alias("title_hash"))
     fp = staged(H.simhash64(docs, "doc_id", "kb_id").join(titles, "doc_id"))
     sig = staged(M.minhash128(docs, "doc_id", "kb_id", "title"))
-    found = cascade(H.simhash_match(fp), M.minhash_match(sig), confirm_fn(spark, sf))
+    first = staged(H.simhash_match(fp))
+    open_ = first.where("body_match = 'none'").select("doc_id")
+    found = cascade(first, staged(M.minhash_match(sig, asking=open_)), confirm_fn(spark, sf))
     skipped = documents(spark, sf).filter(F.col("connector_id") == CODE_SOURCE).select(
         "doc_id", F.lit("none").alias("body_match"), F.lit("unknown").alias("title_match"),
         F.lit(None).cast("bigint").alias("candidate_id"))
@@ -295,8 +304,9 @@ def replayed(spark, sf):
     titles = staged(documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash")))
     doubt = stage1.where(f"distance > {H.IDENTICAL}").select("doc_id", F.col("other").alias("candidate_id")).union(
         stage2.select("doc_id", "other")).distinct()
+    doubt = staged(doubt)
     score = F.round("score", 9)
-    judged = C.chunk_coverage(doubt, packs(spark, sf)).select("doc_id", F.col("candidate_id").alias("other"),
+    judged = C.chunk_coverage(doubt, packs(spark, sf, pairs=doubt)).select("doc_id", F.col("candidate_id").alias("other"),
                                                               C.body_match(score).alias("confirmed"))
     found = stage1.select("doc_id", "other", F.lit(1).alias("stage"), F.col("distance").cast("double").alias("score")).union(
         stage2.select("doc_id", "other", F.lit(2), -F.col("jaccard")))
