@@ -275,7 +275,8 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
 
     ``prints`` has one row per value (node, w0 ... w3), ``n`` of them. Each is filed under some tens of keys, each a
     random choice of about log2(n) bits, so that buckets stay small at any n and a pair at similarity 0.8 meets in one
-    of them with probability 1 - miss. All pairs of a small bucket are judged, a larger one is joined to leaders.
+    of them with probability 1 - miss. All pairs of a small bucket are judged, a larger one is joined to leaders. Links
+    form stars, never all pairs of a group.
     """
     n_bits = max(12, int(n).bit_length() - BUCKET_BITS)
     ways = int(np.ceil(np.log(1 / miss) / 0.8485 ** n_bits))
@@ -303,22 +304,34 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
     def near(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         begins = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         sizes = np.diff(np.append(begins, len(key)))
-        left, right = [], []
+        one, two = [], []
         after = np.repeat(sizes, sizes) - (np.arange(len(key)) - np.repeat(begins, sizes)) - 1
         after[np.repeat(sizes > SMALL_BUCKET, sizes)] = 0
         for step in range(1, int(after.max(initial=0)) + 1):
             at = np.flatnonzero(after >= step)
             at = at[np.bitwise_count(fp[at, 0] ^ fp[at + step, 0]) <= limit]
             at = at[_distance(fp[at], fp[at + step]) <= limit]
-            left.append(node[at])
-            right.append(node[at + step])
+            one.append(at)
+            two.append(at + step)
+        # Members of a small bucket take the first member that they reach over its links.
+        root = np.arange(len(key))
+        if one:
+            one, two = np.concatenate(one), np.concatenate(two)
+            while True:
+                low = np.minimum(root[one], root[two])
+                if (low == root[one]).all() and (low == root[two]).all():
+                    break
+                np.minimum.at(root, one, low)
+                np.minimum.at(root, two, low)
+                root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(key)))
+        left, right = [node[root[moved]]], [node[moved]]
         for begin, size in zip(begins[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
             a, b = _leaders(fp[begin:begin + size], node[begin:begin + size], limit)
             left.append(a)
             right.append(b)
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
-                                             names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
+                                         names=["a", "b"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64))
@@ -336,8 +349,12 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
 
     filed = prints.select("node", *words).mapInArrow(
         file, "key long, node long, " + ", ".join(f"{w} long" for w in words))
-    found = filed.repartition("key").sortWithinPartitions("key").mapInArrow(judge, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judge, "a long, b long")
+    # A member has at most one leader for each key. It is linked to the smallest, and its leaders to each other: as the
+    # members of a group share few leaders, most of these links are the same.
+    heads = found.groupBy("b").agg(F.collect_set("a").alias("heads"), F.min("a").alias("head"))
+    return heads.select(F.col("head").alias("a"), F.explode(F.array_append("heads", F.col("b"))).alias("b")).where(
+        "a <> b").distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, share: float = WIDE_SHARE) -> DataFrame:
