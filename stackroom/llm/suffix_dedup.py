@@ -41,7 +41,7 @@ from .textarrays import prefix_sums, slices, span_hashes, text_bytes
 
 LENGTH = 200
 GRAM = 40
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Prefix hashes counted by one task, and bytes of suffixes merged by one task.
 BUCKET_HASHES = 1 << 20
 RANGE_ENTRIES = 40_000
