@@ -6,7 +6,7 @@ blanks only are neither counted nor dropped.
 
 Counting shuffles (host, hash of line, count) after partial aggregation. A line on more than ``ratio`` of a host's
 pages is one of at most (mean lines of its pages / ratio), so the boilerplate of a host fits in one array, and the
-texts stay where they are: the array joins them by host, and built-in array functions cut the lines.
+texts stay where they are as long as these arrays are few: they join by host, and built-in array functions cut the lines.
 
 Defined results: a null host is a host of its own; a null text stays null and counts as a page without lines; an
 empty text stays empty; repeated rows are pages of their own; a page may lose all its lines and is then empty;
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 RATIO = 0.02
 #: A line on fewer pages of a host is never boilerplate, however small the host.
 LEAST_PAGES = 3
@@ -48,7 +50,10 @@ def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float =
 def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO,
                      least: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
     """The pages with their text cut; ``dropped`` names a column for the number of lines cut."""
-    bad = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias(_PAGES), F.col("lines").alias(_DROP))
+    # Written out, so that its size is known when the join is planned: a small table is sent to the texts, and only a
+    # large one makes the texts move.
+    bad = staged(boilerplate(pages, host, text, ratio, least)).select(
+        F.col("host").alias(_PAGES), F.col("lines").alias(_DROP))
     kept = F.filter(_lines(F.col(text)), lambda x: ~(
         _worded(x) & F.array_contains(F.coalesce(F.col(_DROP), F.array().cast("array<long>")), F.xxhash64(x))))
     joined = pages.join(bad, pages[host].eqNullSafe(bad[_PAGES]), "left").withColumn("__kept", kept)
