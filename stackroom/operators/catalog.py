@@ -10,7 +10,6 @@ from ..functions.text import ilike_any
 # Statuses always reported, final statuses, sortable fields.
 COUNTED = ("indexed", "pending", "running", "failed", "deleted", "outdated")
 TERMINAL = ("indexed", "failed", "deleted", "deleting", "outdated")
-STABLE = ("indexed", "failed", "deleted", "outdated")
 DOC_SORT = ("updated_at", "created_at", "title", "chunk_count", "file_size")
 NULLS_LAST = ("chunk_count", "file_size", "last_synced_at")
 KB_SORT = ("kb_id", "kb_name", "status", "created_at", "updated_at")

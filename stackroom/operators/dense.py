@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import let
 from ..functions.vectors import dot, unit
 from .topk import column, ranked, running_best
 

@@ -18,7 +18,6 @@ def apply_hooks(rows: DataFrame, hooks: list[tuple[str, Column]]) -> DataFrame:
 RETRY_SECONDS = 10
 STALE_SYNC_SECONDS = 3600
 ABORTED = "Aborted"
-RECOVERED = "Manually recovered via API"
 
 
 def is_active(status: Column) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOP_K = 10
-
 
 def fan_out(requests: DataFrame, knowledge_bases: DataFrame) -> DataFrame:
     """One row per request and wanted knowledge base, flagged when it does not exist.
