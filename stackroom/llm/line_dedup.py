@@ -8,6 +8,10 @@ Counting shuffles (host, hash of line, count) after partial aggregation. A line
 pages is one of at most (mean lines of its pages / ratio), so the boilerplate of a host fits in one array, and the
 texts stay where they are as long as these arrays are few: they join by host, and built-in array functions cut the lines.
 
+``copies_once`` takes equal texts of a host for one page, in a line's count and in the host's total, so that a
+document doesn't become boilerplate by being copied. The counted rows are then (host, hash of line, hash of text). Copies
+that differ anywhere are still pages of their own.
+
 Defined results: a null host is a host of its own; a null text stays null and counts as a page without lines; an
 empty text stays empty; repeated rows are pages of their own; a page may lose all its lines and is then empty;
 ties can't occur, as the test is on each line alone; an empty table gives no rows; all other columns pass
@@ -36,23 +40,24 @@ def _worded(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO,
-                least: int = LEAST_PAGES) -> DataFrame:
+                least: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """(host, lines): for each host with boilerplate the hashes of its lines."""
-    narrow = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = narrow.groupBy("host").agg(F.count("*").alias("pages"))
+    narrow = pages.select(F.col(host).alias("host"), F.col(text).alias("text"), F.xxhash64(text).alias("page"))
+    n_pages = F.count_distinct("page") if copies_once else F.count("*")
+    totals = narrow.groupBy("host").agg(n_pages.alias("pages"))
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x)))
-    counts = narrow.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    counts = narrow.select("host", "page", F.explode(keys).alias("line")).groupBy("host", "line").agg(n_pages.alias("n"))
     often = counts.where(F.col("n") >= least).withColumnRenamed("host", "at")
     return often.join(totals, F.col("at").eqNullSafe(F.col("host"))).where(
         F.col("n") > F.lit(ratio) * F.col("pages")).groupBy("host").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_boilerplate(pages: DataFrame, host: str, text: str = "text", ratio: float = RATIO,
-                     least: int = LEAST_PAGES, dropped: str | None = None) -> DataFrame:
+                     least: int = LEAST_PAGES, dropped: str | None = None, copies_once: bool = False) -> DataFrame:
     """The pages with their text cut; ``dropped`` names a column for the number of lines cut."""
     # Written out, so that its size is known when the join is planned: a small table is sent to the texts, and only a
     # large one makes the texts move.
-    bad = staged(boilerplate(pages, host, text, ratio, least)).select(
+    bad = staged(boilerplate(pages, host, text, ratio, least, copies_once)).select(
         F.col("host").alias(_PAGES), F.col("lines").alias(_DROP))
     kept = F.filter(_lines(F.col(text)), lambda x: ~(
         _worded(x) & F.array_contains(F.coalesce(F.col(_DROP), F.array().cast("array<long>")), F.xxhash64(x))))

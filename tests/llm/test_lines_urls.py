@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import corpus_pipeline
 from fixtures import ODD
 
 from stackroom.llm import line_dedup, url_rules
@@ -21,6 +22,18 @@ def test_lines_ratio_is_of_the_host(spark):
     assert got[0] == 0 and got[500] == 1  # 4 of 200 is the ratio itself, not above it
 
 
+def test_lines_of_copies_stay_where_copies_count_once(spark):
+    """A third of the source is one document; a menu stands on other pages too."""
+    rows = [(i, "s", "copied\ntext of its own") for i in range(50)] + [(50 + i, "s", f"menu\nown {i}") for i in range(100)]
+    rows += [(200 + i, "small", "three\ncopies") for i in range(3)] + [(300, "small", None), (301, "small", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, df, "").collect()}
+    assert all(got[i] == "copied\ntext of its own" for i in range(50)) and got[200] == "three\ncopies"
+    assert all(got[50 + i] == f"own {i}" for i in range(100)) and got[300] is None
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, df, ""), "").collect()}
+    assert kept & set(range(50)) == {0} and 200 in kept
+
+
 def test_lines_odd_rows(odd, empty):
     got = line_dedup.drop_boilerplate(odd, "source")
     assert got.columns == odd.columns and got.count() == len(ODD)
