@@ -9,7 +9,8 @@ The draw is conditional on the source totals: slots of a source are ``target / s
 rounded, and each goes to a shard at random. So a source's words come within about one block of its target whatever the shards
 get, and no block is taken more often than full passes ask for.
 
-Defined results: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in
+Defined results: a null or empty text has size 0 and is never taken, and a source of such texts only has target 0 and no
+slots; a null source is a source of its own, last in
 order; repeated rows and repeated ids are rows of their own; an empty table gives an empty mix; other columns
 of the input are ignored, whatever their names.
 """
@@ -93,7 +94,7 @@ def draw_slots(targets: DataFrame, block_words: int, slots_per_shard: int, seed:
     """(shard, sid, slot, block): which block of which source every slot of every shard takes."""
     plan = targets.select(
         "sid", F.ceil(F.col("source_size") / block_words).cast("long").alias("n_blocks"),
-        (F.col("target") / F.col("source_size")).alias("passes")).select(
+        F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("passes")).select(
         "sid", "n_blocks", F.round(F.col("passes") * F.col("n_blocks")).cast("long").alias("slots"))
     shards = F.greatest(F.ceil(F.sum("slots").over(Window.partitionBy()) / slots_per_shard), F.lit(1)).cast("long")
     chunks = (plan.withColumn("n_shards", shards).where("slots > 0")

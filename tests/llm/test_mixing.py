@@ -49,6 +49,18 @@ def test_odd_rows(odd):
     judge(got)
 
 
+def test_source_without_words(spark, odd):
+    void = spark.createDataFrame([(50, None, "en", "void", 0), (51, "", "en", "void", 0), (52, " \n", "en", "void", 2)],
+                                 odd.schema.fieldNames()[:5])
+    for table in (odd.select(void.columns).union(void), void):
+        mix = mixing.Mix(table, keep_text=True)
+        got = mix.taken().toPandas()
+        judge(got)
+        own = got[got.source == "void"]
+        assert len(own) == 3 and (own.taken == 0).all() and (own.target == 0).all()
+        assert mix.blocks().where("source = 'void'").count() == 0
+
+
 def test_empty(empty):
     mix = mixing.Mix(empty, keep_text=True)
     assert mix.taken().count() == 0 and mix.blocks().count() == 0
