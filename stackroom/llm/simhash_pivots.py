@@ -250,23 +250,42 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _leaders(fp: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large bucket: every member to the first earlier leader it is near to, or it leads itself.
+def _reached(fp: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one large bucket: every member to the first member that it reaches over near pairs.
 
-    Distances to the pivots (by part) are kept for leaders; the largest coordinate difference discards leaders
-    before fingerprints are compared.
+    Every reached member is compared in turn with those not reached yet, so the links span what all pairs would. By the
+    distances to the pivots (by part) members outside the window of a tile are never met.
     """
     table = np.stack([_distance(fp, np.roll(pivots(PARTS), k)[None]) for k in range(PARTS)], axis=1)
-    lead = np.zeros(0, np.int64)
+    order = np.argsort(table[:, 0], kind="stable")
+    first = table[order, 0]
+    open_ = np.ones(len(fp), bool)
     left, right = [], []
-    open_ = np.arange(len(fp))
-    while len(open_):
-        head, rest = open_[0], open_[1:]
-        close = np.abs(table[rest] - table[head]).max(axis=1, initial=0) <= limit
-        close[close] = _distance(fp[rest[close]], fp[head]) <= limit
-        left.append(np.full(int(close.sum()), node[head]))
-        right.append(node[rest[close]])
-        lead, open_ = np.append(lead, head), rest[~close]
+    for seed in range(len(fp)):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        front = np.array([seed])
+        while len(front):
+            fresh = []
+            for low in range(0, len(front), TILE):
+                members = front[low:low + TILE]
+                least, most = table[members].min(axis=0) - limit, table[members].max(axis=0) + limit
+                a, b = np.searchsorted(first, [least[0], most[0] + 1])
+                rest = order[a:b]
+                rest = rest[open_[rest]]
+                rest = rest[((table[rest] >= least) & (table[rest] <= most)).all(axis=1)]
+                for at in range(0, len(rest), 8 * TILE):
+                    some = rest[at:at + 8 * TILE]
+                    apart = np.zeros((len(members), len(some)), np.int16)
+                    for k in range(PARTS):
+                        apart += np.bitwise_count(fp[members, k][:, None] ^ fp[some, k][None])
+                    near = some[(apart <= limit).any(axis=0)]
+                    open_[near] = False
+                    fresh.append(near)
+            front = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
+            left.append(np.full(len(front), node[seed]))
+            right.append(node[front])
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -275,8 +294,8 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
 
     ``prints`` has one row per value (node, w0 ... w3), ``n`` of them. Each is filed under some tens of keys, each a
     random choice of about log2(n) bits, so that buckets stay small at any n and a pair at similarity 0.8 meets in one
-    of them with probability 1 - miss. All pairs of a small bucket are judged, a larger one is joined to leaders. Links
-    form stars, never all pairs of a group.
+    of them with probability 1 - miss. All pairs of a small bucket are judged, a larger one is walked from each reached
+    member; both give each member the first one that it reaches. Links form stars, never all pairs of a group.
     """
     n_bits = max(12, int(n).bit_length() - BUCKET_BITS)
     ways = int(np.ceil(np.log(1 / miss) / 0.8485 ** n_bits))
@@ -327,7 +346,7 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
         moved = np.flatnonzero(root != np.arange(len(key)))
         left, right = [node[root[moved]]], [node[moved]]
         for begin, size in zip(begins[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            a, b = _leaders(fp[begin:begin + size], node[begin:begin + size], limit)
+            a, b = _reached(fp[begin:begin + size], node[begin:begin + size], limit)
             left.append(a)
             right.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
@@ -350,8 +369,8 @@ def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: fl
     filed = prints.select("node", *words).mapInArrow(
         file, "key long, node long, " + ", ".join(f"{w} long" for w in words))
     found = filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judge, "a long, b long")
-    # A member has at most one leader for each key. It is linked to the smallest, and its leaders to each other: as the
-    # members of a group share few leaders, most of these links are the same.
+    # A member has at most one head for each key. It is linked to the smallest, and its heads to each other: as the
+    # members of a group share few heads, most of these links are the same.
     heads = found.groupBy("b").agg(F.collect_set("a").alias("heads"), F.min("a").alias("head"))
     return heads.select(F.col("head").alias("a"), F.explode(F.array_append("heads", F.col("b"))).alias("b")).where(
         "a <> b").distinct()

@@ -97,6 +97,35 @@ def test_near_copies_collapse_and_others_stay(spark):
     assert kept & set(range(150)) == {0} and kept >= set(range(150, 190))
 
 
+def test_large_buckets_join_what_all_pairs_join():
+    """Chains, each step near the last one only, among unlike members, in an order that breaks the chains."""
+    rng, limit = random.Random(3), 48
+    values = [rng.getrandbits(256) for _ in range(100)]
+    for _ in range(4):
+        v = rng.getrandbits(256)
+        for _ in range(150):
+            for bit in rng.sample(range(256), 30):
+                v ^= 1 << bit
+            values.append(v)
+    rng.shuffle(values)
+    fp = np.array([[v >> 64 * k & 2**64 - 1 for k in range(sp.PARTS)] for v in values], np.uint64)
+    parent = list(range(len(values)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if (a ^ values[j]).bit_count() <= limit:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    left, right = sp._reached(fp, np.arange(len(values)), limit)
+    want = {i: find(i) for i in range(len(values)) if find(i) != i}
+    assert len(want) > 500 and len(right) == len(want) and dict(zip(right.tolist(), left.tolist())) == want
+
+
 def test_distinct_odd_rows(odd):
     kept = sp.distinct_documents(odd)
     assert kept.columns == odd.columns
