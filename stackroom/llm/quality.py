@@ -8,11 +8,13 @@ noisy to judge by, so each has a minimum length.
 Common words are those with at least ``share`` of a language's words. A word that common has ``share / 2`` of the
 words of some slices, and those slices hold all but ``share / 2`` of its own count; so slices report only what has
 ``share / 2`` there, and words whose reports sum to less than ``share / 2`` are dropped. No common word is lost,
-and at most ``2 / share`` words a language survive, whatever the size of the corpus. Languages count from
-``least_language`` of all words, which bounds their number too.
+and at most ``2 / share`` words a language survive, whatever the size of the corpus. A language has a reference from
+``least_words`` words on, whatever its share of the corpus. References are sent to the tasks and each document is compared
+with all of them, so the work grows with the number of languages.
 
-Defined results: null and empty texts have no words and fail the base rule (fewer than 50 words); a null language
-adds to no reference and is judged like any other; a corpus without any reference judges by the base rule alone;
+Defined results: null and empty texts have no words and fail the base rule (fewer than 50 words); a document whose
+language has no reference is judged by the base rule alone; a null language adds to no reference and is judged by all
+there are; a corpus without any reference judges by the base rule alone;
 repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,7 +32,8 @@ from .textarrays import (BLANK, byte_class, lowered, prefix_sums, slices, span_h
                          windows)
 
 SHARE = 0.004
-LEAST_LANGUAGE = 0.001
+#: Words that make a reference: a word with ``share`` of them then occurs 20 times.
+LEAST_REFERENCE = 5_000
 #: Farthest distance of a good text: a base plus the noise of a histogram of n counts, which falls as 1 / sqrt(n).
 MAX_CLASS_DISTANCE = (0.15, 2.0)
 MAX_WORD_DISTANCE = (0.20, 1.4)
@@ -108,8 +111,8 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(prefix_sums(low), starts, ends), starts, ends, counts
 
 
-def common_words(docs: DataFrame, share: float = SHARE, least_language: float = LEAST_LANGUAGE) -> DataFrame:
-    """(lang, word hash): at most 2 / share words of each language that has its share of the corpus."""
+def common_words(docs: DataFrame, share: float = SHARE, least_words: int = LEAST_REFERENCE) -> DataFrame:
+    """(lang, word hash): at most 2 / share words of each language that has ``least_words`` words."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +139,8 @@ def common_words(docs: DataFrame, share: float = SHARE, least_language: float =
     # A language's own row has no word. Languages are few, and each reports few words.
     total = F.max(F.when(F.col("word").isNull(), F.col("times"))).over(Window.partitionBy("lang"))
     sized = staged(reports.withColumn("total", total))
-    whole = sized.where("word IS NULL").agg(F.sum("total").alias("whole"))
-    return sized.where(F.col("word").isNotNull() & (F.col("times") >= share / 2 * F.col("total"))).join(
-        F.broadcast(whole)).where(F.col("total") >= least_language * F.col("whole")).select("lang", "word")
+    return sized.where(F.col("word").isNotNull() & (F.col("times") >= share / 2 * F.col("total")) &
+                       (F.col("total") >= least_words)).select("lang", "word")
 
 
 def features(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -228,12 +230,12 @@ def js_distance(rows: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def judge(docs: DataFrame, share: float = SHARE, least_language: float = LEAST_LANGUAGE,
+def judge(docs: DataFrame, share: float = SHARE, least_words: int = LEAST_REFERENCE,
           max_class: tuple[float, float] = MAX_CLASS_DISTANCE,
           max_word: tuple[float, float] = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS,
           min_words: int = MIN_WORDS) -> DataFrame:
-    """Base columns, class_distance, word_distance (to the nearest reference), base_failed and kept."""
-    vocabulary_rows = common_words(docs, share, least_language).toArrow()
+    """Base columns, class_distance, word_distance (to the nearest reference of all), base_failed and kept."""
+    vocabulary_rows = common_words(docs, share, least_words).toArrow()
     langs = sorted(set(vocabulary_rows["lang"].to_pylist()))
     vocabulary = np.unique(vocabulary_rows["word"].to_numpy()).view(np.uint64)
     vocabulary.sort()
@@ -248,19 +250,22 @@ def judge(docs: DataFrame, share: float = SHARE, least_language: float = LEAST_L
                 if known:
                     by_class = np.min([js_distance(classes, c) for c, _ in known.values()], axis=0)
                     by_word = np.min([js_distance(words, w) for _, w in known.values()], axis=0)
+                comparable = [lang is None or lang in known for lang in part.column("lang").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in base] + [pa.array(by_class), pa.array(by_word),
-                                                      pa.array(classes.sum(axis=1).astype(np.int64))],
-                    names=[*base, "class_distance", "word_distance", "n_chars"])
+                                                      pa.array(classes.sum(axis=1).astype(np.int64)),
+                                                      pa.array(comparable, pa.bool_())],
+                    names=[*base, "class_distance", "word_distance", "n_chars", "comparable"])
 
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(distances, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in base[1:]) +
-                             ", class_distance double, word_distance double, n_chars long")
+                             ", class_distance double, word_distance double, n_chars long, comparable boolean")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
     def far(column: str, limit: tuple[float, float], n: str, least: int) -> Column:
         return (F.col(n) >= least) & (F.col(column) > limit[0] + limit[1] / F.sqrt(F.greatest(n, F.lit(1))))
 
     fits = ~far("class_distance", max_class, "n_chars", min_chars) & ~far("word_distance", max_word, "n_words", min_words)
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits)
+    return scored.withColumn("base_failed", failed).withColumn(
+        "kept", ~F.col("base_failed") & (fits | ~F.col("comparable"))).drop("comparable")

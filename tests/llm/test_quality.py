@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 from fixtures import FOLDER, ODD
+from pyspark.sql import DataFrame
 
 from stackroom.llm import quality
 
@@ -54,6 +55,27 @@ def test_no_reference_judges_by_the_base_rule(odd, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_rare_languages_are_judged_alike_in_any_corpus(spark, documents):
+    """Languages under a thousandth of the words: one with a reference of its own, one with too few words for it."""
+    from pyspark.sql import functions as F
+
+    low, text = "abcdefghijklmnopqrstuvwxyz", F.lower("text")
+
+    def turned(lang: str, by: int, name: str | None, n: int) -> DataFrame:
+        return documents.where(F.col("lang") == lang).orderBy("doc_id").limit(n).select(
+            "doc_id", F.translate(text, low, low[by:] + low[:by]).alias("text"), F.lit(name).cast("string").alias("lang"))
+
+    own = turned("fr", 5, "rare", 100).union(turned("es", 9, "tiny", 4)).union(turned("de", 13, None, 1))
+    strange = turned("de", 13, None, 1).first()["doc_id"]
+    rest = documents.where("lang = 'en'").select((F.col("doc_id") + 1000).alias("doc_id"), "text", "lang")
+    for corpus in (own, own.union(rest.crossJoin(spark.range(250).select()))):
+        got = {r["doc_id"]: r for r in quality.judge(corpus).where("doc_id < 1000").collect()}
+        got = {i: r for i, r in got.items() if not r["base_failed"]}
+        assert len(got) > 20
+        # Without a language it is judged by all references, and far from them.
+        assert [i for i, r in got.items() if not r["kept"]] == [strange]
+
+
 def test_common_words_are_complete(documents, rows):
     """Every word with the share of its language is found, and at most 2 / share are."""
     from stackroom.llm.textarrays import prefix_sums, span_hashes
