@@ -7,8 +7,9 @@ noisy to judge by, so each has a minimum length.
 
 Common words are those with at least ``share`` of a language's words. A word that common has ``share / 2`` of the
 words of some slices, and those slices hold all but ``share / 2`` of its own count; so slices report only what has
-``share / 2`` there, and words whose reports sum to less than ``share / 2`` are dropped. No common word is lost,
-and at most ``2 / share`` words a language survive, whatever the size of the corpus. A language has a reference from
+``share / 2`` there, and words whose reports sum to less than ``share / 2`` are dropped. The at most ``2 / share``
+candidates a language that survive, all its common words among them, are counted exactly in a second pass, so the result
+does not depend on how the rows are cut into slices. A language has a reference from
 ``least_words`` words on, whatever its share of the corpus. References are sent to the tasks and each document is compared
 with all of them, so the work grows with the number of languages.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def common_words(docs: DataFrame, share: float = SHARE, least_words: int = LEAST_REFERENCE) -> DataFrame:
-    """(lang, word hash): at most 2 / share words of each language that has ``least_words`` words."""
+    """(lang, word hash): the at most 1 / share common words of each language that has ``least_words`` words."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +141,35 @@ def common_words(docs: DataFrame, share: float = SHARE, least_words: int = LEAST
     # A language's own row has no word. Languages are few, and each reports few words.
     total = F.max(F.when(F.col("word").isNull(), F.col("times"))).over(Window.partitionBy("lang"))
     sized = staged(reports.withColumn("total", total))
-    return sized.where(F.col("word").isNotNull() & (F.col("times") >= share / 2 * F.col("total")) &
-                       (F.col("total") >= least_words)).select("lang", "word")
+    candidates = sized.where(F.col("word").isNotNull() & (F.col("times") >= share / 2 * F.col("total")) &
+                             (F.col("total") >= least_words)).select("lang", "word", "total").toArrow()
+    asked: dict[str, np.ndarray] = {}
+    for lang in candidates["lang"].unique().to_pylist():
+        asked[lang] = np.sort(candidates.filter(pc.equal(candidates["lang"], lang))["word"].to_numpy().view(np.uint64))
+    if not asked:
+        return sized.select("lang", "word").limit(0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {lang: np.zeros(len(words), np.int64) for lang, words in asked.items()}
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                hashes, _, _, counts = _words(data, offsets)
+                langs = part.column("lang").dictionary_encode()
+                code = np.repeat(langs.indices.to_numpy(), counts)
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    own, words = hashes[code == k], asked[lang]
+                    at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                    sums[lang] += np.bincount(at[words[at] == own], minlength=len(words))
+        for lang, words in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words.view(np.int64)),
+                                              pa.array(sums[lang])], names=["lang", "word", "n"])
+
+    exact = docs.select("lang", "text").where(F.col("lang").isin(list(asked))).mapInArrow(
+        count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    totals = sized.where("word IS NULL").select(F.col("lang").alias("of"), "total")
+    return exact.join(F.broadcast(totals), F.col("lang") == F.col("of")).where(
+        F.col("n") >= share * F.col("total")).select("lang", "word")
 
 
 def features(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:

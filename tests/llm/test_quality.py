@@ -94,6 +94,19 @@ def test_common_words_are_complete(documents, rows):
     assert max(Counter(lang for lang, _ in found).values()) <= 2 / quality.SHARE
 
 
+def test_common_words_do_not_depend_on_the_layout(documents, rows):
+    """Exactly the words with the share, however the rows are cut."""
+    counts, totals = Counter(), Counter()
+    for r in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), r["text"].encode()))
+        counts.update((r["lang"], w) for w in words)
+        totals[r["lang"]] += len(words)
+    want = Counter(lang for (lang, _), n in counts.items() if n >= quality.SHARE * totals[lang])
+    sets = [{(r["lang"], r["word"]) for r in quality.common_words(d).collect()}
+            for d in (documents.coalesce(1), documents.repartition(40, "doc_id"))]
+    assert sets[0] == sets[1] and Counter(lang for lang, _ in sets[0]) == want
+
+
 def test_distance_by_hand():
     d = quality.js_distance(np.array([[1.0, 1.0], [2.0, 0.0]]), np.array([5.0, 5.0]))
     m = (np.array([1.0, 0.0]) + 0.5) / 2
