@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from . import (chunk_dedup, decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots,
-               suffix_dedup, toxicity_crf, url_rules)
+               suffix_dedup, toxicity_crf, url_rules, whitening)
 
 QUERIES: dict[str, Query] = {}
 
@@ -78,3 +78,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @op("op6_chunk_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_dedup.remove_repeats(_table(spark, folder, "documents"))
+
+
+@op("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings projected on the leading components of their covariance, a row for each vector and component."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
