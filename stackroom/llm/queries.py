@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Query
 from . import (chunk_dedup, decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots,
-               suffix_dedup, toxicity_crf, url_rules, whitening)
+               suffix_dedup, token_alignment, toxicity_crf, url_rules, whitening)
 
 QUERIES: dict[str, Query] = {}
 
@@ -84,3 +84,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings projected on the leading components of their covariance, a row for each vector and component."""
     return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+@op("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Token groups and links of two tokenizers, digested for each document."""
+    aligned = token_alignment.align(_table(spark, folder, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return token_alignment.score(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
