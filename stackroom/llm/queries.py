@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query
-from . import (chunk_dedup, decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots,
+from . import (chunk_dedup, class_lm, decontaminate, language_id, line_dedup, mixing, quality, simhash_pivots,
                suffix_dedup, token_alignment, toxicity_crf, url_rules, whitening)
 
 QUERIES: dict[str, Query] = {}
@@ -93,3 +93,10 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return token_alignment.score(aligned.withColumn("groups_sha256", digest).drop("groups")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@op("op12_class_lm")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a class bigram model learned from six in seven of them."""
+    docs = _table(spark, folder, "documents")
+    return class_lm.score(docs, class_lm.fit(docs))
