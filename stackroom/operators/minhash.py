@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sketches import MINHASH_SIZE, jaccard_estimate, minhash_band_keys
+from ..functions.sketches import MINHASH_BANDS, MINHASH_SIZE, jaccard_estimate, minhash_band_keys
 from ..functions.text import ws_tokens
 from ..session import staged
 from .banding import bucket_join, collapse, copy_partner
@@ -95,15 +95,14 @@ def minhash128(df: DataFrame, *ids: str, text: str = "text") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def at_least(share: float, a: str, b: str, low_a: str, low_b: str) -> Column:
-    """Jaccard estimate of two signatures >= share, testing the packed nibbles first."""
+def may_reach(share: float, low_a: str, low_b: str) -> Column:
+    """True wherever two signatures can agree in a ``share`` of their positions, judged by their packed nibbles."""
     seven, eight = (sum(d << (4 * i) for i in range(PER_WORD)) for d in (7, 8))
     differ = []
     for i in range(NIBBLE_WORDS):
         x = f"(get({low_a}, {i}) ^ get({low_b}, {i}))"
         differ.append(f"bit_count(((({x} & {seven}L) + {seven}L) | {x}) & {eight}L)")
-    bound = F.expr(" + ".join(differ)) <= MINHASH_SIZE - int(np.ceil(share * MINHASH_SIZE - 1e-9))
-    return bound & (jaccard_estimate(F.col(a), F.col(b)) >= share)
+    return F.expr(" + ".join(differ)) <= MINHASH_SIZE - int(np.ceil(share * MINHASH_SIZE - 1e-9))
 
 
 def band_rows(sig: DataFrame, *keep) -> DataFrame:
@@ -138,6 +137,40 @@ def candidate_counts(sig: DataFrame) -> DataFrame:
         "doc_id", (F.col("near") - 1).alias("n_candidates"))
 
 
+def band_hashes(signature: Column) -> Column:
+    """A 64-bit key for each band of a signature, for joins only."""
+    rows = MINHASH_SIZE // MINHASH_BANDS
+    return F.transform(F.sequence(F.lit(0), F.lit(MINHASH_BANDS - 1)),
+                       lambda i: F.xxhash64(F.slice(signature, i * rows + 1, F.lit(rows))))
+
+
+def _meetings(asking: DataFrame, texts: DataFrame, titled: DataFrame, alike: DataFrame, jaccard: float, floor: float) -> DataFrame:
+    """(doc_id, other, share): pairs that agree in a band and can reach ``jaccard``, and pairs with similar titles that can
+    reach ``floor``, each once with its lower bound.
+
+    asking (kb_id, doc_id, title, bands, a_low), texts (kb_id, other, bands, b_low), titled (kb_id, title, other, b_low).
+    Only ids, keys and packed nibbles move; a pair that meets in several bands is reduced where it is found.
+    """
+    differ = F.col("doc_id") != F.col("other")
+    left = asking.select("kb_id", "doc_id", "a_low", F.posexplode("bands").alias("band_index", "band"))
+    right = texts.select("kb_id", "other", "b_low", F.posexplode("bands").alias("band_index", "band"))
+    body = bucket_join(left, right, ["kb_id", "band_index", "band"], "doc_id", "other",
+                       differ & may_reach(jaccard, "a_low", "b_low")).select("doc_id", "other", F.lit(jaccard).alias("share"))
+    asked = asking.select("kb_id", "title", "doc_id", "a_low").join(alike, ["kb_id", "title"]).drop("title")
+    by_title = bucket_join(asked, titled.withColumnRenamed("title", "other_title"), ["kb_id", "other_title"], "doc_id", "other",
+                           differ & may_reach(floor, "a_low", "b_low")).select("doc_id", "other", F.lit(floor).alias("share"))
+    return body.unionByName(by_title).groupBy("doc_id", "other").agg(F.min("share").alias("share"))
+
+
+def _scored(meetings: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(doc_id, other, jaccard) of the pairs that reach their share; signatures (id, signature)."""
+    mine = signatures.select(F.col("id").alias("doc_id"), F.col("signature").alias("a_sig"))
+    theirs = signatures.select(F.col("id").alias("other"), F.col("signature").alias("b_sig"))
+    found = meetings.join(mine, "doc_id").join(theirs, "other").select(
+        "doc_id", "other", "share", jaccard_estimate(F.col("a_sig"), F.col("b_sig")).alias("jaccard"))
+    return found.where("jaccard >= share AND jaccard > 0").drop("share")
+
+
 def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR,
                   asking: DataFrame | None = None) -> DataFrame:
     """Stage two for every document: (doc_id, candidate_id, jaccard) of the best passing candidate.
@@ -149,54 +182,33 @@ def minhash_match(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE
     """
     sig = with_id(sig)
     keys = ["kb_id", "sig_id"]
-    groups = staged(with_keys(collapse(sig, keys, ["signature", "nibbles"])))
+    groups = staged(collapse(sig, keys, ["signature", "nibbles"]).withColumn("bands", band_hashes(F.col("signature"))))
     docs = copy_partner(sig.select("doc_id", "title", *keys), groups.select(*keys, "n_docs", "first_doc"), keys)
     if asking is not None:
         docs = docs.join(asking, "doc_id", "left_semi")
     copies = docs.filter(F.col("n_docs") > 1).select(
         "doc_id", F.col("copy_of").alias("candidate_id"), F.lit(1.0).alias("jaccard"))
-    score = jaccard_estimate(F.col("a_sig"), F.col("b_sig"))
-
-    def passing(share: float) -> Column:
-        return (F.col("doc_id") != F.col("other")) & at_least(share, "a_sig", "b_sig", "a_low", "b_low") & (score > 0)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("doc_id").agg(F.min(F.struct((-score).alias("neg"), F.col("other").alias("id"))).alias("b"))
-
-    mine = [F.col("first_doc").alias("doc_id"), F.col("signature").alias("a_sig"), F.col("nibbles").alias("a_low")]
-    theirs = [F.col("first_doc").alias("other"), F.col("signature").alias("b_sig"), F.col("nibbles").alias("b_low")]
-    lonely = groups.filter(F.col("n_docs") == 1)
+    lonely = groups.filter(F.col("n_docs") == 1).select(
+        "kb_id", F.col("first_doc").alias("doc_id"), "bands", F.col("nibbles").alias("a_low"))
     if asking is not None:
-        lonely = lonely.join(asking.select(F.col("doc_id").alias("first_doc")), "first_doc", "left_semi")
-    body = best(bucket_join(band_rows(lonely, "kb_id", *mine), band_rows(groups, "kb_id", *theirs),
-                            ["kb_id", "band_index", "band_key"], "doc_id", "other", passing(jaccard)))
-
-    # Title candidates: documents meet through pairs of distinct similar titles.
-    titled = collapse(sig, ["kb_id", "title", "sig_id"], ["signature", "nibbles"])
+        lonely = lonely.join(asking, "doc_id", "left_semi")
+    lonely = lonely.join(sig.select("doc_id", "title"), "doc_id")
+    texts = groups.select("kb_id", F.col("first_doc").alias("other"), "bands", F.col("nibbles").alias("b_low"))
+    # Title candidates: documents meet through pairs of distinct similar titles; of a title one document per signature.
+    titled = collapse(sig, ["kb_id", "title", "sig_id"], ["nibbles"]).select(
+        "kb_id", "title", F.col("first_doc").alias("other"), F.col("nibbles").alias("b_low"))
     alike = staged(similar_titles(sig, title).select("kb_id", "title", "other_title"))
-    asked = lonely.select("kb_id", *mine).join(sig.select("doc_id", "title"), "doc_id").join(
-        alike, ["kb_id", "title"]).drop("title")
-    offered = titled.select("kb_id", F.col("title").alias("other_title"), *theirs)
-    by_title = best(bucket_join(asked, offered, ["kb_id", "other_title"], "doc_id", "other", passing(floor)))
-    found = body.unionByName(by_title).groupBy("doc_id").agg(F.min("b").alias("b"))
-    return copies.unionByName(found.select("doc_id", F.col("b.id").alias("candidate_id"), (-F.col("b.neg")).alias("jaccard")))
+    meetings = _meetings(lonely, texts, titled, alike, jaccard, floor)
+    best = _scored(meetings, sig.select(F.col("doc_id").alias("id"), "signature")).groupBy("doc_id").agg(
+        F.min(F.struct((-F.col("jaccard")).alias("neg"), F.col("other").alias("id"))).alias("b"))
+    return copies.unionByName(best.select("doc_id", F.col("b.id").alias("candidate_id"), (-F.col("b.neg")).alias("jaccard")))
 
 
 def passing_pairs(sig: DataFrame, jaccard: float = JACCARD, title: float = TITLE, floor: float = FLOOR) -> DataFrame:
     """(doc_id, other, jaccard): every pair that :func:`minhash_match` would let pass, for rows with different texts."""
-    rows = staged(with_keys(sig))
-    mine = [F.col("doc_id"), F.col("signature").alias("a_sig"), F.col("nibbles").alias("a_low")]
-    theirs = [F.col("doc_id").alias("other"), F.col("signature").alias("b_sig"), F.col("nibbles").alias("b_low")]
-    score = jaccard_estimate(F.col("a_sig"), F.col("b_sig"))
-
-    def passing(share: float) -> Column:
-        return (F.col("doc_id") != F.col("other")) & at_least(share, "a_sig", "b_sig", "a_low", "b_low") & (score > 0)
-
-    body = bucket_join(band_rows(rows, "kb_id", *mine), band_rows(rows, "kb_id", *theirs),
-                       ["kb_id", "band_index", "band_key"], "doc_id", "other", passing(jaccard))
+    rows = staged(sig.withColumn("bands", band_hashes(F.col("signature"))))
+    asking = rows.select("kb_id", "doc_id", "title", "bands", F.col("nibbles").alias("a_low"))
+    texts = rows.select("kb_id", "title", F.col("doc_id").alias("other"), "bands", F.col("nibbles").alias("b_low"))
     alike = staged(similar_titles(sig, title).select("kb_id", "title", "other_title"))
-    asked = rows.select("kb_id", "title", *mine).join(alike, ["kb_id", "title"]).drop("title")
-    by_title = bucket_join(asked, rows.select("kb_id", F.col("title").alias("other_title"), *theirs),
-                           ["kb_id", "other_title"], "doc_id", "other", passing(floor))
-    return body.select("doc_id", "other", score.alias("jaccard")).unionByName(
-        by_title.select("doc_id", "other", score.alias("jaccard"))).distinct()
+    meetings = _meetings(asking, texts, texts.drop("bands"), alike, jaccard, floor)
+    return _scored(meetings, rows.select(F.col("doc_id").alias("id"), "signature"))

@@ -10,8 +10,9 @@ from ..operators import confirm as C
 from ..operators import minhash as M
 from ..operators import simhash as H
 from ..operators.chunking import word_windows
-from ..operators.embed import embed_arrays
 from ..operators.replay import replay
+from ..operators.sequence import LEAST_CHARS, OVERLAP, SIZE, found_pairs, sketches
+from ..operators.sequence import packs as pair_packs
 from ..operators.titles import similar_titles
 from ..operators.verdict import cascade, resolve_newer, verdict
 from ..session import spread, staged
@@ -39,19 +40,9 @@ def signatures(spark, sf):
     return staged(M.minhash128(texts(spark, sf), "doc_id", "kb_id", "title"))
 
 
-def packs(spark, sf, size=100, overlap=10, pairs=None):
-    """(doc_id, n_chunks, vecs): unit vectors of all chunks of a document in its row.
-
-    With ``pairs`` (doc_id, candidate_id) only documents of a pair are cut and embedded.
-    """
-    kept = let(words(F.col("text")), lambda ws: F.filter(
-        word_windows(ws, size, overlap), lambda t: F.length(t) >= 30))
-    docs = texts(spark, sf)
-    if pairs is not None:
-        named = pairs.select("doc_id").union(pairs.select("candidate_id")).distinct()
-        docs = docs.join(named, "doc_id", "left_semi")
-    rows = docs.select("doc_id", kept.alias("texts"))
-    return staged(embed_arrays(rows, "texts", "vecs").select("doc_id", F.size("vecs").alias("n_chunks"), "vecs"))
+def packs(spark, sf, pairs):
+    """(doc_id, n_chunks, tile, vecs) of the documents of pairs (doc_id, candidate_id)."""
+    return pair_packs(texts(spark, sf), pairs)
 
 
 def created(spark, sf):
@@ -187,7 +178,7 @@ def trigram_set_q(spark, sf):
 @query("chunk_coverage", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT doc_id, candidate_id, round(score, 6) AS score FROM cov")
 def chunk_coverage(spark, sf):
     pairs = staged(M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id"))
-    return C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)).withColumn("score", F.round("score", 6))
+    return C.chunk_coverage(pairs, packs(spark, sf, pairs)).withColumn("score", F.round("score", 6))
 
 
 _BODY = "CASE WHEN round(score, 9) >= 0.95 THEN 'identical_level' WHEN round(score, 9) >= 0.75 THEN 'similar' ELSE 'none' END"
@@ -196,7 +187,7 @@ _BODY = "CASE WHEN round(score, 9) >= 0.95 THEN 'identical_level' WHEN round(sco
 @query("score_to_body_match", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')} SELECT {_BODY} AS body_match, count(*) AS n FROM cov GROUP BY ALL")
 def score_to_body_match(spark, sf):
     pairs = staged(M.minhash_match(signatures(spark, sf)).select("doc_id", "candidate_id"))
-    return C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)).groupBy(
+    return C.chunk_coverage(pairs, packs(spark, sf, pairs)).groupBy(
         C.body_match(F.round("score", 9)).alias("body_match")).agg(F.count("*").alias("n"))
 
 
@@ -207,7 +198,7 @@ stage3 AS (SELECT c.doc_id, score, body_match, CASE WHEN body_match = 'none' THE
 
 def confirm_fn(spark, sf):
     titles = documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash"))
-    return lambda pairs: C.chunk_confirm(C.chunk_coverage(pairs, packs(spark, sf, pairs=pairs)), titles)
+    return lambda pairs: C.chunk_confirm(C.chunk_coverage(pairs, packs(spark, sf, pairs)), titles)
 
 
 @query("chunk_confirm", f"WITH {SIG_DOCS}, {STAGE2}, {PACKS}, {coverage_sql('stage2')}, {_CONFIRM} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3")
@@ -216,6 +207,22 @@ def chunk_confirm(spark, sf):
     return confirm_fn(spark, sf)(pairs).withColumn("score", F.round("score", 6))
 
 
+_LEADS = " FROM (SELECT min(doc_id) AS doc_id, any_value(lang) AS lang, any_value(source) AS source, text FROM documents GROUP BY lang, text))"
+_ALL = "passing AS (SELECT doc_id, candidate_id FROM jac WHERE j > 0 AND (j >= 0.65 OR (sim >= 0.85 AND j >= 0.25)))"
+_BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, candidate_id) AS r FROM cov) WHERE r = 1)"
+
+
+@query("chunk_confirm_all", f"WITH {SIG_DOCS}, {STAGE2}, {_ALL}, {PACKS}, {coverage_sql('passing')}, {_BEST}, {_CONFIRM.replace('FROM cov)', 'FROM best)')} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3".replace(" FROM documents)", _LEADS, 1))
+def chunk_confirm_all(spark, sf):
+    """Every candidate that passes is confirmed, and the best one counts; of equal texts the first takes part."""
+    docs = texts(spark, sf)
+    first = docs.groupBy("kb_id", F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    lead = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    passing = staged(M.passing_pairs(staged(M.minhash128(lead, "doc_id", "kb_id", "title"))).select(
+        "doc_id", F.col("other").alias("candidate_id")))
+    return confirm_fn(spark, sf)(passing).withColumn("score", F.round("score", 6))
+
+
 FULL = f"""{SIM}, {SIG.replace("@docs@", "")}, {STAGE2},
 first AS (SELECT s1.doc_id, CASE WHEN s1.body_match = 'none' AND s2.candidate_id IS NOT NULL THEN 'similar' ELSE s1.body_match END AS body_match, s1.title_match, coalesce(s1.candidate_id, s2.candidate_id) AS candidate_id
   FROM stage1 s1 LEFT JOIN stage2 s2 USING (doc_id)),
@@ -298,25 +305,7 @@ def replayed(spark, sf):
     of_doc = docs.select("doc_id", "kb_id", F.sha2("text", 256).alias("digest")).join(grouped, ["kb_id", "digest"]).select(
         "doc_id", "group")
     lead = docs.join(grouped.select(F.col("group").alias("doc_id")), "doc_id", "left_semi")
-    fp = staged(H.simhash64(lead, "doc_id", "kb_id"))
-    stage1 = staged(H.similar_pairs(fp))
-    stage2 = staged(M.passing_pairs(M.minhash128(lead, "doc_id", "kb_id", "title")))
-    titles = staged(documents(spark, sf).select("doc_id", title_hash(F.col("title")).alias("title_hash")))
-    doubt = stage1.where(f"distance > {H.IDENTICAL}").select("doc_id", F.col("other").alias("candidate_id")).union(
-        stage2.select("doc_id", "other")).distinct()
-    doubt = staged(doubt)
-    score = F.round("score", 9)
-    judged = C.chunk_coverage(doubt, packs(spark, sf, pairs=doubt)).select("doc_id", F.col("candidate_id").alias("other"),
-                                                              C.body_match(score).alias("confirmed"))
-    found = stage1.select("doc_id", "other", F.lit(1).alias("stage"), F.col("distance").cast("double").alias("score")).union(
-        stage2.select("doc_id", "other", F.lit(2), -F.col("jaccard")))
-    mine = titles.withColumnRenamed("title_hash", "mine")
-    theirs = titles.select(F.col("doc_id").alias("other"), F.col("title_hash").alias("theirs"))
-    sure = (F.col("stage") == 1) & (F.col("score") <= H.IDENTICAL)
-    pairs = found.join(judged, ["doc_id", "other"], "left").join(mine, "doc_id").join(theirs, "other").select(
-        F.col("doc_id").alias("group"), "other", "stage", "score",
-        F.when(sure, "identical_level").otherwise(F.col("confirmed")).alias("body_match"),
-        F.when(F.col("mine") == F.col("theirs"), "same").otherwise("changed").alias("title_match"))
+    pairs = found_pairs(staged(sketches(lead)), lead)
     return replay(of_doc.join(created(spark, sf), "doc_id"), pairs)
 
 
@@ -340,6 +329,7 @@ def dedup_survivors(spark, sf):
    CASE WHEN action IN ('take_over', 'replace') THEN 'outdated' END AS existing_status, CASE WHEN action = 'outdate' THEN candidate_id END AS duplicate_of, CASE WHEN action = 'take_over' THEN chunk_count END AS taken_chunks FROM v""")
 def verdict_q(spark, sf):
     """Each document against what is indexed when it arrives, so a group of copies keeps one."""
-    counts = packs(spark, sf).select("doc_id", F.col("n_chunks").alias("chunk_count"))
+    cut = let(words(F.col("text")), lambda ws: F.filter(word_windows(ws, SIZE, OVERLAP), lambda t: F.length(t) >= LEAST_CHARS))
+    counts = texts(spark, sf).select("doc_id", F.size(cut).alias("chunk_count"))
     matches = replayed(spark, sf).select("doc_id", "candidate_id", "body_match", "title_match")
     return verdict(matches, created(spark, sf).join(counts, "doc_id", "left").fillna(0, ["chunk_count"]))
