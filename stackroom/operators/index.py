@@ -38,9 +38,10 @@ def replace_in_table(spark: SparkSession, path: str, fresh: DataFrame, changed:
                      key: str = "doc_id", buckets: int = BUCKETS) -> None:
     """Replace all rows of the changed keys in a stored table.
 
-    Only the buckets that hold a changed key are read and rewritten. New files are complete before
-    they take the place of the old ones, so a failed job leaves the table as it was. A touched bucket
-    always keeps its partition: a tombstone row without a key stands where no row is left.
+    Only the buckets that hold a changed key are read and rewritten. New files are complete before the first of the old
+    ones goes, but buckets are exchanged one by one, so readers can meanwhile see some old and some new ones; see
+    generations for tables whose changes appear as a whole. A touched bucket always keeps its partition: a tombstone row
+    without a key stands where no row is left.
     """
     keys = changed.select(key).distinct()
     touched = keys.select(bucket(key, buckets).alias("bucket")).distinct()

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import generations as G
 from ..operators import index as I
 from ..operators import minhash as M
 from ..operators import simhash as H
@@ -42,11 +43,11 @@ _TURNS = "turns AS (SELECT conv_id || ':' || turn AS chunk_id, conv_id AS doc_id
 
 
 def through_table(spark, current, fresh, changed, key="doc_id"):
-    """Write the current rows, replace the changed keys in the stored table and read it back."""
+    """Write the current rows, replace the changed keys in a further generation and read the table back."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    I.write_table(current, path, key, buckets=8)
-    I.replace_in_table(spark, path, fresh, changed, key, buckets=8)
-    return I.read_table(spark, path, key)
+    G.create(current, path, key)
+    G.upsert(fresh, changed, path, key)
+    return G.read(spark, path, key)
 
 
 _A, _B = S.windows(200, 20, out="wa"), S.windows(100, 10, out="wb")
