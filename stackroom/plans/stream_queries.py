@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import generations as G
 from ..operators.index import read_table
 from ..session import shared_dir
 from ..sources import readers as R
 from ..sources.tables import documents, status_events, table
+from ..streaming import dedup_ingest
 from ..streaming.ingest import ingest_stream
 from ..streaming.status import dedup_stream, status_stream
 from . import sqlbits as S
+from .dedup_queries import REPLAY, created
 from .registry import query
 
 
@@ -117,3 +120,24 @@ def stream_ingest(spark, sf):
     ingest_stream(spark, folder, "doc_id bigint, text string, version int", path, scratch(spark, "cp"),
                   files_per_batch=1).awaitTermination()
     return read_table(spark, path).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("text_md5"))
+
+
+def arrived(spark, sf, parts=3):
+    """The folder of an index into which the documents came in several batches, in the order of their ids."""
+    docs = documents(spark, sf).join(created(spark, sf), "doc_id").select(
+        "doc_id", "kb_id", F.lit("txt").alias("doc_type"), "text", F.lit(1).alias("version"),
+        F.col("doc_created_at").cast("long").alias("doc_created_at"))
+    inbox, path, checkpoint = (scratch(spark, name) for name in ("inbox", "dedup-index", "cp"))
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    part = F.floor((F.col("doc_id") - low) * parts / (high - low + 1))
+    for i in range(parts):
+        docs.where(part == i).write.mode("append").parquet(inbox)
+        dedup_ingest.ingest_stream(spark, inbox, path, checkpoint).awaitTermination()
+    return path
+
+
+@query("stream_ingest_dedup", f"{REPLAY} SELECT * FROM replayed")
+def stream_ingest_dedup(spark, sf):
+    """Decisions over three batches equal one replay over all documents."""
+    return G.read(spark, f"{arrived(spark, sf)}/decisions").select(
+        "doc_id", "candidate_id", "body_match", "title_match", "action", "replaced_by", "live")
