@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import cosine, norm
+from ..operators.dictionary import dictionary_tokens, read_dictionary
 from ..operators.embed import dense_embed, dimension_violations
 from ..operators.sparse import sparse_tf
-from ..session import spread
+from ..session import shared_dir, spread
 from ..sources.tables import documents, passages, table, vectors
 from . import sqlbits as S
 from .registry import query
@@ -48,6 +51,29 @@ def user_dict_tokens(spark, sf):
     return dictionary_counts(documents(spark, sf), entries)
 
 
+# A dictionary file with entries of two, three and five words, a comment and a line without a tag.
+_LONG = f"""entries AS (SELECT DISTINCT array_to_string(ws[1:k], ' ') AS e FROM (SELECT {S.words('lower(text)')} AS ws FROM benchmark), (VALUES (2), (3), (5)) AS v(k) WHERE len(ws) >= k),
+pat AS (SELECT string_agg(regexp_escape(e) || ' ', '|' ORDER BY length(e) DESC, e) || '|[^ ]+ ' AS p FROM entries)"""
+
+
+@query("dictionary_tokens", f"""WITH {S.DOCS}, {_LONG},
+  t AS (SELECT doc_id, list_transform(regexp_extract_all(array_to_string({S.words('lower(text)')}, ' ') || ' ', p), lambda x: left(x, length(x) - 1)) AS t FROM docs, pat)
+  SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_filter(t, lambda x: contains(x, ' '))) AS BIGINT) AS n_kept, md5(array_to_string(t, '|')) AS tokens_md5 FROM t""")
+def dictionary_tokens_q(spark, sf):
+    """Documents cut into tokens with a dictionary read from a file."""
+    path = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    w = X.ws_tokens(F.col("text"))
+    cuts = passages(spark, sf).select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("k"), w.alias("w")) for k in (2, 3, 5)])).alias("c")).select("c.*").where("size(w) >= k")
+    lines = cuts.select(F.concat(F.array_join(F.slice("w", F.lit(1), F.col("k")), " "), F.lit("\tNNP")).alias("value"))
+    odd = lines.sparkSession.createDataFrame([("# of the\tNNP",), ("and the",), ("",)], "value string")
+    lines.distinct().unionByName(odd).write.text(path)
+    got = dictionary_tokens(documents(spark, sf), read_dictionary(spark, path), "doc_id")
+    return got.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+                      F.size(F.filter("tokens", lambda t: t.contains(" "))).cast("long").alias("n_kept"),
+                      F.md5(F.array_join("tokens", "|")).alias("tokens_md5"))
+
+
 def dictionary_counts(docs, entries):
     """How often each dictionary expression is kept as one token, per document.
 
