@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_counts, word_tokens
 from ..session import staged
-from .dense import _result_schema, slabs_of
-from .topk import column, ranked, running_best
+from .topk import TIE_DIGITS, ranked
 
-#: Most queries whose term weights are broadcast at once.
-SLAB = 2048
+#: Chunks of a block: neighbours in the stored table.
+BLOCK_BITS = 6
+#: Blocks that are scored first, for each query and knowledge base.
+FIRST_BLOCKS = 8
 
 
 def token_id(token: Column) -> Column:
@@ -35,89 +31,70 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def counted_chunks(chunks: DataFrame) -> DataFrame:
-    """(kb_id, chunk_id, tokens, tfs): the sparse vectors of a chunk table, stored once."""
+    """(kb_id, chunk_id, block, tokens, tfs): the sparse vectors of a chunk table, stored once.
+
+    A block is a run of 2^BLOCK_BITS chunks that are stored behind one another.
+    """
     return staged(chunks.select("kb_id", "chunk_id", token_counts(word_tokens(F.col("text"))).alias("t")).select(
-        "kb_id", "chunk_id", F.col("t.token").alias("tokens"), F.col("t.tf").alias("tfs")))
+        "kb_id", "chunk_id", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"),
+        F.col("t.token").alias("tokens"), F.col("t.tf").alias("tfs")))
 
 
-def query_weights(queries: DataFrame, counted: DataFrame) -> DataFrame:
-    """(query_id, kb_id, token, weight): query frequency times IDF in each knowledge base.
+def posting_blocks(counted: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(kb_id, token, block, max_tf, postings): the posting lists of ``tokens`` in blocks, each with its largest frequency.
 
-    Document frequencies are counted only for tokens some query uses, with a partial count on the
-    map side, so a token held by a third of the corpus still shuffles one row per task.
+    The chunks of a block come from one task, so lists are built where the chunks are read; a token held by a third of all
+    chunks has a row for each block, not for each chunk.
     """
-    terms = sparse_tf(queries, "query_id").select("query_id", "token", "tf")
-    seen = counted.select("kb_id", F.explode("tokens").alias("token")).join(
-        terms.select("token").distinct(), "token", "left_semi")
-    freq = seen.groupBy("kb_id", "token").agg(F.count("*").alias("df"))
+    flat = counted.select("kb_id", "chunk_id", "block", F.inline(F.arrays_zip(
+        F.col("tokens").alias("token"), F.col("tfs").alias("tf")))).toDF("kb_id", "chunk_id", "block", "token", "tf")
+    return flat.join(tokens.select("token").distinct(), "token", "left_semi").groupBy("kb_id", "token", "block").agg(
+        F.max("tf").alias("max_tf"), F.collect_list(F.struct("chunk_id", "tf")).alias("postings"))
+
+
+def query_weights(terms: DataFrame, blocks: DataFrame, counted: DataFrame) -> DataFrame:
+    """(query_id, kb_id, token, weight): query frequency times IDF in each knowledge base."""
+    freq = blocks.groupBy("kb_id", "token").agg(F.sum(F.size("postings")).alias("df"))
     size = counted.groupBy("kb_id").agg(F.count("*").alias("n"))
     return terms.join(freq, "token").join(size, "kb_id").select(
         "query_id", "kb_id", "token", (F.col("tf") * idf(F.col("n"), F.col("df"))).alias("weight"))
 
 
-def _csr(lists: dict[str, tuple[list, list]]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
-    """(token -> number, offsets, queries, weights) of the query postings of one knowledge base."""
-    sizes = [len(at) for at, _ in lists.values()]
-    return ({t: i for i, t in enumerate(lists)}, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64),
-            np.array([q for at, _ in lists.values() for q in at], dtype=np.int64),
-            np.array([w for _, ws in lists.values() for w in ws], dtype=np.float64))
-
-
-def _scores(batch: pa.RecordBatch, n_queries: int, postings: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Score block (queries x chunks of the batch) and which pairs share a token."""
-    tokens = column(batch, "tokens")
-    lengths = np.diff(tokens.offsets.to_numpy())
-    chunk_of = np.repeat(np.arange(batch.num_rows), lengths)
-    words = tokens.flatten().dictionary_encode()
-    codes, vocabulary = words.indices.to_numpy(), words.dictionary.to_pylist()
-    tf = column(batch, "tfs").flatten().to_numpy().astype(np.float64)
-    kb_of = column(batch, "kb_id").to_numpy(zero_copy_only=False)
-    scores = np.zeros(n_queries * batch.num_rows)
-    for kb in set(kb_of.tolist()):
-        if kb not in postings:
-            continue
-        number, offsets, queries, weights = postings[kb]
-        known = np.array([number.get(w, -1) for w in vocabulary], dtype=np.int64)[codes]
-        at = np.flatnonzero((known >= 0) & (kb_of[chunk_of] == kb))
-        term = known[at]
-        n = offsets[term + 1] - offsets[term]
-        # Every kept token meets all queries of its posting list: positions inside the flat lists.
-        source = np.repeat(np.arange(len(at)), n)
-        flat = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[term], n)
-        target = queries[flat] * batch.num_rows + chunk_of[at][source]
-        scores += np.bincount(target, weights=weights[flat] * tf[at][source], minlength=len(scores))
-    block = scores.reshape(n_queries, batch.num_rows)
-    return block, block > 0
-
-
-def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, slab: int = SLAB) -> DataFrame:
-    """Best k chunks per (query, kb) by the sum of weight x term frequency over shared tokens.
+def block_bounds(weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, kb_id, block, bound): no chunk of a block can score more for a query."""
+    return weights.join(blocks.select("kb_id", "token", "block", "max_tf"), ["kb_id", "token"]).groupBy(
+        "query_id", "kb_id", "block").agg(F.sum(F.col("weight") * F.col("max_tf")).alias("bound"))
 
-    queries (query_id, text), chunks (kb_id, chunk_id, text)
-    """
-    spark = chunks.sparkSession
-    schema = _result_schema(queries, chunks)
-    counted = counted_chunks(chunks)
 
-    def one(part: DataFrame) -> DataFrame:
-        rows = query_weights(part, counted).toPandas()
-        ids = np.array(sorted(rows["query_id"].unique()))
-        position = {q: i for i, q in enumerate(ids)}
-        grouped = rows.groupby(["kb_id", "token"], sort=False)
-        tables: dict = {}
-        for (kb, token), g in grouped:
-            tables.setdefault(kb, {})[token] = ([position[q] for q in g["query_id"]], g["weight"].tolist())
-        shared = spark.sparkContext.broadcast((ids, {kb: _csr(t) for kb, t in tables.items()}))
+def score_blocks(wanted: DataFrame, weights: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, kb_id, chunk_id, score) of all chunks in the wanted (query_id, kb_id, block) that share a token."""
+    terms = wanted.select("query_id", "kb_id", "block").join(weights, ["query_id", "kb_id"])
+    hits = terms.join(blocks.select("kb_id", "token", "block", "postings"), ["kb_id", "token", "block"]).select(
+        "query_id", "kb_id", "weight", F.inline("postings"))
+    return hits.groupBy("query_id", "kb_id", "chunk_id").agg(
+        F.round(F.sum(F.col("weight") * F.col("tf")), TIE_DIGITS).alias("score"))
 
-        def score(batch: pa.RecordBatch):
-            q_ids, postings = shared.value
-            return _scores(batch, len(q_ids), postings)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if len(shared.value[0]):
-                yield from running_best(batches, k, shared.value[0], score)
+def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
+    """Best k chunks per (query, kb) by the sum of weight x term frequency over shared tokens.
 
-        return counted.mapInArrow(run, schema)
+    queries (query_id, text), chunks (kb_id, chunk_id, text)
 
-    hits = reduce(DataFrame.unionByName, [one(p) for p in slabs_of(queries, slab)])
-    return ranked(hits, k)
+    Postings are kept in blocks with their largest frequencies. From these every block of a knowledge base gets an upper bound for
+    every query that shares a token with it. The blocks with the highest bounds are scored first; the k-th best score
+    found there is a threshold, and of the other blocks only those whose bound reaches it are scored. The result
+    is exact. One scan of the chunks serves any number of queries, and nothing passes through the driver.
+    """
+    terms = staged(sparse_tf(queries, "query_id").select("query_id", "token", "tf"))
+    counted = counted_chunks(chunks)
+    blocks = staged(posting_blocks(counted, terms))
+    weights = staged(query_weights(terms, blocks, counted))
+    bounds = staged(block_bounds(weights, blocks))
+    by_bound = Window.partitionBy("query_id", "kb_id").orderBy(F.desc("bound"), "block")
+    first = staged(bounds.withColumn("place", F.row_number().over(by_bound)).where(F.col("place") <= first_blocks).drop("place"))
+    found = staged(score_blocks(first, weights, blocks))
+    floor = ranked(found, k).where(F.col("rank") == k).select("query_id", "kb_id", F.col("score").alias("floor"))
+    # Sums of rounded numbers may differ in their last digits.
+    rest = bounds.join(first.select("query_id", "kb_id", "block"), ["query_id", "kb_id", "block"], "left_anti").join(
+        floor, ["query_id", "kb_id"], "left").where("floor IS NULL OR bound >= floor * (1 - 1e-9) - 1e-6")
+    return ranked(found.unionByName(score_blocks(rest, weights, blocks)), k)
