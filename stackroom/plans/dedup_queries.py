@@ -212,7 +212,7 @@ _ALL = "passing AS (SELECT doc_id, candidate_id FROM jac WHERE j > 0 AND (j >= 0
 _BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, candidate_id) AS r FROM cov) WHERE r = 1)"
 
 
-@query("chunk_confirm_all", f"WITH {SIG_DOCS}, {STAGE2}, {_ALL}, {PACKS}, {coverage_sql('passing')}, {_BEST}, {_CONFIRM.replace('FROM cov)', 'FROM best)')} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3".replace(" FROM documents)", _LEADS, 1))
+@query("chunk_confirm_all", f"WITH {SIG_DOCS}, {STAGE2}, {_ALL}, {PACKS}, {coverage_sql('passing')}, {_BEST}, {_CONFIRM.replace('cov.doc_id', 'best.doc_id').replace('FROM cov)', 'FROM best)')} SELECT doc_id, round(score, 6) AS score, body_match, title_match, candidate_id FROM stage3".replace(" FROM documents)", _LEADS, 1))
 def chunk_confirm_all(spark, sf):
     """Every candidate that passes is confirmed, and the best one counts; of equal texts the first takes part."""
     docs = texts(spark, sf)

@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write an intermediate result once and read it back.
 
     For results used several times (sketches, vectors): later steps scan the small table instead of
@@ -56,7 +56,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
