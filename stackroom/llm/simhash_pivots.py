@@ -13,8 +13,8 @@
    of the links are found by label propagation.
 
 For near copies with more changes (a Jaccard similarity of 0.8 on five-word shingles moves about 15 % of the bits) there
-is a wide form: 256 bits, filed under sampled bits, the same pivot test in large buckets. At that radius the pivots
-discard little, and filing finds pairs with a stated probability instead of all; see :func:`similar_groups`.
+is a wide form: 256 bits, filed under a fixed number of keys, the same pivot test in large buckets, and every proposed pair
+verified on its sets of shingles; see :func:`similar_groups`.
 
 Defined results: a null text, an empty text and a text without words have fingerprint zero and are linked like any
 other; a text with fewer words than a shingle is one shingle; repeated rows get equal results; rows with a null id
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .components import components
-from .textarrays import BLANK, lowered, mixed, slices, spans, text_bytes
+from .textarrays import BLANK, lowered, mixed, prefix_sums, slices, span_hashes, spans, text_bytes, windows
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -51,12 +51,11 @@ def pivots(n: int = N_PIVOTS) -> np.ndarray:
     return np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, parts: int = 1) -> np.ndarray:
-    """One row of ``parts`` 64-bit values for each text; the first is the majority of the shingles' XXH64, the others
-    of further hashes made from it."""
+def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """A 64-bit value for each text, the majority of the shingles' XXH64."""
     starts, ends, counts = spans(~BLANK[data], offsets)
     if not len(starts):
-        return np.zeros((len(offsets) - 1, parts), np.uint64)
+        return np.zeros(len(offsets) - 1, np.uint64)
     # All words joined by single blanks: word k begins at at[k].
     lengths = ends - starts
     at = np.zeros(len(starts) + 1, np.int64)
@@ -75,19 +74,15 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, parts: in
     hashes = np.fromiter((digest(text[a:b], 42) for a, b in zip(at[k].tolist(), (at[last] - 1).tolist())),
                          np.uint64, len(k))
     # Bits are counted in pieces, so one long text needs no more memory than a short one.
-    out = []
-    for part in range(parts):
-        ones = np.zeros((len(counts), 64), np.int64)
-        step = 1 << 16
-        for low in range(0, len(hashes), step):
-            bits = np.unpackbits(hashes[low:low + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            rows = row[low:low + step]
-            begins = np.flatnonzero(np.diff(rows, prepend=-1))
-            ones[rows[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-        major = (2 * ones > n_shingles[:, None]).astype(np.uint8)
-        out.append(np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel())
-        hashes = mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
-    return np.stack(out, axis=1)
+    ones = np.zeros((len(counts), 64), np.int64)
+    step = 1 << 16
+    for low in range(0, len(hashes), step):
+        bits = np.unpackbits(hashes[low:low + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rows = row[low:low + step]
+        begins = np.flatnonzero(np.diff(rows, prepend=-1))
+        ones[rows[begins]] += np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
+    major = (2 * ones > n_shingles[:, None]).astype(np.uint8)
+    return np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -97,7 +92,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
-                fp = _fingerprints(data, offsets, shingle)[:, 0].view(np.int64)
+                fp = _fingerprints(data, offsets, shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -217,194 +212,277 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: 64-bit parts, and the share of differing bits at which two texts still are near copies. Sets of
-#: shingles with a Jaccard similarity of 0.8 differ in 0.15 of their bits on average, 0.016 more or less.
+#: The wide form: 64-bit parts of a fingerprint, words of a shingle, least Jaccard similarity of a link.
 PARTS = 4
 WIDE_SHINGLE = 5
-WIDE_SHARE = 0.1875
-#: Chance that a pair at 0.8 is filed together nowhere, members of a bucket whose pairs are all judged, and the
-#: expected size of a bucket.
-MISS = 0.01
-SMALL_BUCKET = 64
-BUCKET_BITS = 2
-
-
-def _wide(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, w0 ... w3): a 256-bit fingerprint; node names its value."""
+SIMILARITY = 0.8
+#: Differing bits up to which a pair is proposed. Sets at 0.8 differ in 39 of 256 bits on average, 6 more or less.
+WIDE_BITS = 56
+#: Sets of so few shingles are proposed whatever their fingerprints say.
+FEW = 32
+#: Bands and their rows: a pair at 0.8 shares a band with a chance of 0.99.
+BANDS, ROWS = 16, 6
+#: Members of a bucket whose pairs are all proposed, and that are judged at once.
+SMALL_BUCKET = 6
+WINDOW = 2048
+#: Bits of the filter for the sets that some pair asks for.
+FILTER_BITS = 1 << 24
+
+
+def _shingle_sets(part: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of each row as 64-bit hashes, and their numbers; rows with fewer words have one shingle."""
+    data, offsets = text_bytes(part.column("text"))
+    data = lowered(data)
+    starts, ends, counts = spans(~BLANK[data], offsets)
+    words = span_hashes(prefix_sums(data), starts, ends)
+    of_word = np.repeat(np.arange(len(counts)), counts)
+    hashes, at = windows(words, counts, shingle)
+    row = of_word[at]
+    for few in range(1, shingle):
+        mine = np.where(counts == few, counts, 0)
+        some, _ = windows(words[mine[of_word] > 0], mine, few)
+        hashes, row = np.concatenate([hashes, some]), np.concatenate([row, np.flatnonzero(mine)])
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.bincount(row[new], minlength=len(counts))
+
+
+def _digests(hashes: np.ndarray, n: np.ndarray) -> pa.Array:
+    """16 bytes that name a set of shingles; all sets without shingles have the same name."""
+    out = np.zeros((len(n), 2), np.uint64)
+    some = np.flatnonzero(n)
+    begins = (np.cumsum(n) - n)[some]
+    for k in range(2):
+        spread = mixed(hashes * np.uint64(2 * k + 3) + np.uint64(0xD1B54A32D192ED03))
+        if len(some):
+            out[some, k] = mixed(np.add.reduceat(spread, begins) + n[some].astype(np.uint64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+
+def _wide_sketch(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set: PARTS 64-bit parts of a fingerprint, a key for each band, and the first smallest value of the next band."""
+    fp, least = np.zeros((len(n), PARTS), np.uint64), np.zeros((len(n), BANDS * ROWS), np.uint64)
+    keys, some = np.zeros((len(n), BANDS), np.uint64), np.flatnonzero(n)
+    if not len(some):
+        return fp, keys, keys
+    begins = (np.cumsum(n) - n)[some]
+    factors = np.random.default_rng(96).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    for k, factor in enumerate(factors):
+        least[some, k] = np.minimum.reduceat(hashes * factor, begins)
+    least = least.reshape(len(n), BANDS, ROWS)
+    keys += np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
+    row = np.repeat(np.arange(len(n)), n)
+    for k in range(PARTS):
+        own, ones = mixed(hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 2**64 - 1)), np.zeros((len(n), 64), np.int64)
+        for low in range(0, len(own), 1 << 16):
+            bits = np.unpackbits(own[low:low + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            rows = row[low:low + (1 << 16)]
+            edges = np.flatnonzero(np.diff(rows, prepend=-1))
+            ones[rows[edges]] += np.add.reduceat(bits, edges, axis=0, dtype=np.int32)
+        fp[:, k] = np.packbits((2 * ones > n[:, None]).astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+    return fp, keys, np.roll(least[:, :, 0], -1, axis=1)
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, node, n, w0 ... w3, keys, next): node names the set of shingles, n is its size."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     words = [f"w{k}" for k in range(PARTS)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fp = _fingerprints(*text_bytes(part.column("text")), shingle, PARTS).view(np.int64)
+                hashes, n = _shingle_sets(part, shingle)
+                fp, *lists = _wide_sketch(hashes, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(np.ascontiguousarray(fp[:, k])) for k in range(PARTS)]],
-                    names=["doc_id", *words])
+                    [part.column("doc_id"), _digests(hashes, n), pa.array(n.astype(np.int64)),
+                     *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)],
+                     *[pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel().view(np.int64)), BANDS).cast(
+                         pa.list_(pa.int64())) for x in lists]],
+                    names=["doc_id", "node", "n", *words, "keys", "next"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        scan, f"doc_id {id_type}, " + ", ".join(f"{w} long" for w in words)).withColumn("node", F.xxhash64(*words))
+        scan, f"doc_id {id_type}, node binary, n long, " + ", ".join(f"{w} long" for w in words) + ", keys array<long>, next array<long>")
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _reached(fp: np.ndarray, node: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large bucket: every member to the first member that it reaches over near pairs.
-
-    Every reached member is compared in turn with those not reached yet, so the links span what all pairs would. By the
-    distances to the pivots (by part) members outside the window of a tile are never met.
-    """
-    table = np.stack([_distance(fp, np.roll(pivots(PARTS), k)[None]) for k in range(PARTS)], axis=1)
-    order = np.argsort(table[:, 0], kind="stable")
-    first = table[order, 0]
-    open_ = np.ones(len(fp), bool)
-    left, right = [], []
-    for seed in range(len(fp)):
-        if not open_[seed]:
-            continue
-        open_[seed] = False
-        front = np.array([seed])
-        while len(front):
-            fresh = []
-            for low in range(0, len(front), TILE):
-                members = front[low:low + TILE]
-                least, most = table[members].min(axis=0) - limit, table[members].max(axis=0) + limit
-                a, b = np.searchsorted(first, [least[0], most[0] + 1])
-                rest = order[a:b]
-                rest = rest[open_[rest]]
-                rest = rest[((table[rest] >= least) & (table[rest] <= most)).all(axis=1)]
-                for at in range(0, len(rest), 8 * TILE):
-                    some = rest[at:at + 8 * TILE]
-                    apart = np.zeros((len(members), len(some)), np.int16)
-                    for k in range(PARTS):
-                        apart += np.bitwise_count(fp[members, k][:, None] ^ fp[some, k][None])
-                    near = some[(apart <= limit).any(axis=0)]
-                    open_[near] = False
-                    fresh.append(near)
-            front = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
-            left.append(np.full(len(front), node[seed]))
-            right.append(node[front])
-    return np.concatenate(left), np.concatenate(right)
+def _alike(n: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return np.minimum(n, other) >= SIMILARITY * np.maximum(n, other)
 
 
-def similar_links(prints: DataFrame, n: int, share: float = WIDE_SHARE, miss: float = MISS) -> DataFrame:
-    """(a, b) links between wide fingerprints that differ in at most ``share`` of their bits.
+def spanning_links(fp: np.ndarray, n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest-neighbour tree of each group of a bucket: every member is linked to the nearest one reached before.
 
-    ``prints`` has one row per value (node, w0 ... w3), ``n`` of them. Each is filed under some tens of keys, each a
-    random choice of about log2(n) bits, so that buckets stay small at any n and a pair at similarity 0.8 meets in one
-    of them with probability 1 - miss. All pairs of a small bucket are judged, a larger one is walked from each reached
-    member; both give each member the first one that it reaches. Links form stars, never all pairs of a group.
+    A pair counts if its sizes can be similar and its fingerprints differ in at most ``limit`` bits (or are made of few
+    shingles). The tables of distances to the pivots discard pairs before their fingerprints meet.
+    """
+    m = len(fp)
+    table = np.stack([_distance(fp, np.roll(pivots(PARTS), k)[None]) for k in range(PARTS)], axis=1)
+    far = 64 * PARTS + 1
+    dist, parent, open_ = np.full(m, far), np.full(m, -1), np.ones(m, bool)
+    few = n <= FEW
+    one, two = [], []
+    at = 0
+    for _ in range(m - 1):
+        open_[at] = False
+        rest = np.flatnonzero(open_ & _alike(n, n[at]))
+        rest = rest[few[rest] | (np.abs(table[rest] - table[at]).max(axis=1, initial=0) <= limit)]
+        d = _distance(fp[rest], fp[at])
+        nearer = (d < dist[rest]) & (few[rest] | (d <= limit))
+        dist[rest[nearer]], parent[rest[nearer]] = d[nearer], at
+        waiting = np.flatnonzero(open_)
+        at = int(waiting[dist[waiting].argmin()])
+        if dist[at] < far:
+            one.append(int(parent[at]))
+            two.append(at)
+    return np.array(one, np.int64), np.array(two, np.int64)
+
+
+def proposed_links(prints: DataFrame, limit: int = WIDE_BITS) -> DataFrame:
+    """(a, b) pairs of different sets that may be similar, a < b; ``prints`` has one row per set.
+
+    Every set is filed under BANDS keys, whatever their number. Buckets of up to SMALL_BUCKET propose all their pairs, larger
+    ones a tree. Within a key sets are ordered by the first rows of the next band, so members of a hot key that agree
+    in more rows stand together; they are judged in overlapping windows, and ranges of them go to different tasks.
     """
-    n_bits = max(12, int(n).bit_length() - BUCKET_BITS)
-    ways = int(np.ceil(np.log(1 / miss) / 0.8485 ** n_bits))
-    limit = int(share * 64 * PARTS)
-    rng = np.random.default_rng(64)
-    masks = np.zeros((ways, 64 * PARTS), np.uint8)
-    for way in range(ways):
-        masks[way, rng.choice(64 * PARTS, n_bits, replace=False)] = 1
-    masks = np.packbits(masks, axis=1, bitorder="little").view(np.uint64)
     words = [f"w{k}" for k in range(PARTS)]
+    filed = prints.where("n > 0").select("node", "n", *words, F.inline(F.arrays_zip(
+        F.col("keys").alias("key"), F.col("next").alias("next")))).toDF("node", "n", *words, "key", "next")
 
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
-
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = matrix(batch)
-            for way in range(ways):
-                key = np.full(len(fp), way, np.uint64)
-                for k in range(PARTS):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + (fp[:, k] & masks[way, k]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns],
-                                                 names=["key", *batch.schema.names])
-
-    def near(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def near(key: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
         sizes = np.diff(np.append(begins, len(key)))
-        one, two = [], []
         after = np.repeat(sizes, sizes) - (np.arange(len(key)) - np.repeat(begins, sizes)) - 1
         after[np.repeat(sizes > SMALL_BUCKET, sizes)] = 0
+        one, two = [], []
         for step in range(1, int(after.max(initial=0)) + 1):
             at = np.flatnonzero(after >= step)
-            at = at[np.bitwise_count(fp[at, 0] ^ fp[at + step, 0]) <= limit]
-            at = at[_distance(fp[at], fp[at + step]) <= limit]
+            at = at[_alike(n[at], n[at + step])]
+            at = at[(n[at] <= FEW) | (_distance(fp[at], fp[at + step]) <= limit)]
             one.append(at)
             two.append(at + step)
-        # Members of a small bucket take the first member that they reach over its links.
-        root = np.arange(len(key))
-        if one:
-            one, two = np.concatenate(one), np.concatenate(two)
-            while True:
-                low = np.minimum(root[one], root[two])
-                if (low == root[one]).all() and (low == root[two]).all():
-                    break
-                np.minimum.at(root, one, low)
-                np.minimum.at(root, two, low)
-                root = root[root]
-        moved = np.flatnonzero(root != np.arange(len(key)))
-        left, right = [node[root[moved]]], [node[moved]]
         for begin, size in zip(begins[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            a, b = _reached(fp[begin:begin + size], node[begin:begin + size], limit)
-            left.append(a)
-            right.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))],
-                                         names=["a", "b"])
+            for low in range(begin, begin + size, WINDOW // 2):
+                high = min(low + WINDOW, begin + size)
+                a, b = spanning_links(fp[low:high], n[low:high], limit)
+                one.append(a + low)
+                two.append(b + low)
+                if high == begin + size:
+                    break
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(one or none), np.concatenate(two or none)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64))
+        held: pa.RecordBatch | None = None
+
+        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
+            fp = np.stack([rows.column(w).to_numpy() for w in words], axis=1).view(np.uint64)
+            a, b = near(rows.column("key").to_numpy(), fp, rows.column("n").to_numpy())
+            node = rows.column("node")
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not rows.num_rows:
                 continue
-            key, node, fp = (np.concatenate([h, x]) for h, x in zip(held, (
-                batch.column("key").to_numpy(), batch.column("node").to_numpy(), matrix(batch))))
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield from near(key[:cut], node[:cut], fp[:cut])
-            held = key[cut:], node[cut:], fp[cut:]
-        if len(held[0]):
-            yield from near(*held)
-
-    filed = prints.select("node", *words).mapInArrow(
-        file, "key long, node long, " + ", ".join(f"{w} long" for w in words))
-    found = filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(judge, "a long, b long")
-    # A member has at most one head for each key. It is linked to the smallest, and its heads to each other: as the
-    # members of a group share few heads, most of these links are the same.
-    heads = found.groupBy("b").agg(F.collect_set("a").alias("heads"), F.min("a").alias("head"))
-    return heads.select(F.col("head").alias("a"), F.explode(F.array_append("heads", F.col("b"))).alias("b")).where(
-        "a <> b").distinct()
-
-
-def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE, share: float = WIDE_SHARE) -> DataFrame:
-    """(doc_id, component_id) by wide fingerprints: near copies at a similarity of about 0.8 and more.
-
-    The narrow form (64 bits, two of them differing) misses most copies with some percent of their words changed; here
-    a link is at most 48 of 256 differing bits. Filing by sampled bits finds 99 of 100 pairs at 0.8, and more above.
+            keys = rows.column("key").to_numpy()
+            # The last key may go on; of a long one only the last window is held back.
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if rows.num_rows - cut > 2 * WINDOW:
+                yield out(rows)
+                held = rows.slice(rows.num_rows - WINDOW)
+            else:
+                yield out(rows.slice(0, cut))
+                held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    dealt = filed.repartitionByRange("key", "next").sortWithinPartitions("key", "next", "node")
+    found = dealt.select("key", "node", "n", *words).mapInArrow(judge, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified_links(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Sets are made again from the texts. A filter of fixed size lets only those out of the tasks that some pair (or, rarely,
+    a pair of the same bit) asks for.
     """
-    rows = staged(_wide(docs, shingle))
-    prints = staged(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"),
-                                             *[F.first(f"w{k}").alias(f"w{k}") for k in range(PARTS)]))
-    roots = components(similar_links(prints, prints.count(), share))
-    grouped = prints.select("node", "first_id").join(roots.withColumnRenamed("node", "of"), F.col("node") == F.col("of"),
-                                                     "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).select(
+        F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("int").alias("bit"))
+    words = asked.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.expr("1L"), F.col("bit").bitwiseAND(F.lit(63)))).alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, n = _shingle_sets(part, shingle)
+                node = _digests(hashes, n)
+                name = np.frombuffer(b"".join(node.to_pylist()), np.uint8).reshape(-1, 16).astype(np.int64)
+                bit = name[:, 0] << 16 | name[:, 1] << 8 | name[:, 2]
+                asked = sent.value[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)
+                some = np.flatnonzero(asked)
+                edges = np.concatenate([[0], np.cumsum(n[some])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [node.take(pa.array(some)), pa.ListArray.from_arrays(pa.array(edges), pa.array(
+                        hashes[np.repeat(asked == 1, n)].view(np.int64)))], names=["node", "hashes"])
+
+    sets = staged(docs.select("text").mapInArrow(scan, "node binary, hashes array<long>").dropDuplicates(["node"]))
+    mine, theirs = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"{c}_set")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.join(mine, "a").join(theirs, "b").select(
+        "a", "b", common.alias("common"), (F.size("a_set") + F.size("b_set")).alias("total")).where(
+        F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): near copies, at a Jaccard similarity of 0.8 or more on sets of five-word shingles.
+
+    Equal sets are one row from the start. Others are proposed by bands of smallest values, fingerprints of 256 bits and the
+    tables of distances to the pivots; a proposed pair is a link only if its sets are that similar. Of the pairs at 0.8,
+    99 of 100 share a band, and more above.
+    """
+    rows = staged(_sketches(docs, shingle))
+    pairs = staged(proposed_links(rows.drop("doc_id").dropDuplicates(["node"])))
+    roots = components(verified_links(pairs, docs, shingle)).withColumnRenamed("node", "of")
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    grouped = firsts.join(roots, F.col("node") == F.col("of"), "left").select(
+        "node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "node").join(grouped.join(smallest, "root").select("node", "component_id"), "node").select(
         "doc_id", "component_id")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE, share: float = WIDE_SHARE) -> DataFrame:
+def _new_name(columns: list[str], name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def distinct_documents(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """The documents with one of each group of near copies kept: the one with the smallest id.
 
-    Of rows repeated under one id with one text one stays. Rows without an id can't lead or leave a group;
-    of equal texts among them one stays.
+    Texts without words are copies of each other. Of rows repeated under one id with one text one stays. Rows without an id
+    can't lead or leave a group; of equal texts among them one stays.
     """
     columns = docs.columns
-    lead = similar_groups(docs, shingle, share).where("doc_id = component_id").groupBy(
-        F.col("doc_id").alias("lead_id")).agg(F.count("*").alias("lead_rows"))
-    kept = docs.join(lead, docs["doc_id"] == lead["lead_id"])
-    once = kept.where("lead_rows = 1").select(docs["*"])
-    doubtful = kept.where("lead_rows > 1").select(docs["*"]).unionByName(docs.where("doc_id IS NULL"))
-    digest = "__text_digest"
+    lead_id, lead_rows, digest = (_new_name(columns, c) for c in ("lead_id", "lead_rows", "text_digest"))
+    lead = similar_groups(docs, shingle).where("doc_id = component_id").groupBy(
+        F.col("doc_id").alias(lead_id)).agg(F.count("*").alias(lead_rows))
+    kept = docs.join(lead, docs["doc_id"] == lead[lead_id])
+    once = kept.where(lead[lead_rows] == 1).select(docs["*"])
+    doubtful = kept.where(lead[lead_rows] > 1).select(docs["*"]).unionByName(docs.where("doc_id IS NULL"))
     return once.unionByName(doubtful.withColumn(digest, F.sha2(F.col("text"), 256)).dropDuplicates(
         ["doc_id", digest]).select(columns))

@@ -35,6 +35,7 @@ def test_stages_take_odd_and_empty_tables(spark, odd, empty):
 
 
 def test_queries_run(spark):
-    want = {"op1": 6, "op2": 5, "op3": 10, "op4": 3, "op5": 6, "op6": 7, "op7": 4, "op8": 4, "op9": 5, "op10": 5}
+    want = {"op1": 6, "op2": 5, "op3": 10, "op4": 3, "op5": 6, "op6": 7, "op7": 4, "op8": 4, "op9": 5, "op10": 5, "op11": 8,
+            "op12": 8, "op13": 7}
     for name, query in QUERIES.items():
         assert len(query.run(spark, FOLDER).columns) == want[name.split("_")[0]], name

@@ -81,23 +81,55 @@ def test_links_join_all_that_brute_force_joins(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def shingles(text: str | None) -> frozenset:
+    words = BLANK_WORD.findall(low(text))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def jaccard(a: str, b: str) -> float:
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def changed(words: list[str], n: int, rng: random.Random) -> str:
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"w{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
 def test_near_copies_collapse_and_others_stay(spark):
     """A large group of near copies, its chains included, leaves one document; unlike texts stay."""
     rng = random.Random(9)
     base = prose(77, 300).split()
-    texts = []
-    for _ in range(150):
-        words = list(base)
-        for _ in range(4):
-            words[rng.randrange(len(words))] = f"w{rng.randrange(1000)}"
-        texts.append(" ".join(words))
+    texts = [changed(base, 3, rng) for _ in range(150)]
+    for _ in range(100):
+        texts.append(changed(texts[-1].split(), 3, rng))
     others = [prose(1000 + i, 200) for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string").repartition(4)
     kept = {r["doc_id"] for r in sp.distinct_documents(df).collect()}
-    assert kept & set(range(150)) == {0} and kept >= set(range(150, 190))
+    assert kept & set(range(250)) == {0} and kept >= set(range(250, 290))
+
+
+def test_pairs_are_linked_from_four_fifths_up(spark):
+    """Pairs of texts of 200 words with 1 to 12 changed: none below 0.8 loses a document, nine of ten from 0.8 up do."""
+    rng = random.Random(21)
+    texts, above, below = [], [], []
+    for i in range(800):
+        words = prose(5000 + i, 200 if i % 4 else 40).split()
+        one, two = " ".join(words), changed(words, rng.randrange(1, 13 if i % 4 else 4), rng)
+        (above if jaccard(one, two) >= 0.8 else below).append(len(texts))
+        texts += [one, two]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in sp.distinct_documents(df).collect()}
+    assert len(above) > 150 and len(below) > 150
+    assert all(i in kept and i + 1 in kept for i in below)
+    close = [i for i in above if jaccard(texts[i], texts[i + 1]) < 0.85]
+    for some in (above, close):
+        assert sum(i + 1 not in kept for i in some) >= 0.9 * len(some)
 
 
-def test_large_buckets_join_what_all_pairs_join():
+def test_a_large_bucket_gives_a_tree():
     """Chains, each step near the last one only, among unlike members, in an order that breaks the chains."""
     rng, limit = random.Random(3), 48
     values = [rng.getrandbits(256) for _ in range(100)]
@@ -109,21 +141,45 @@ def test_large_buckets_join_what_all_pairs_join():
             values.append(v)
     rng.shuffle(values)
     fp = np.array([[v >> 64 * k & 2**64 - 1 for k in range(sp.PARTS)] for v in values], np.uint64)
-    parent = list(range(len(values)))
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, a in enumerate(values):
-        for j in range(i):
-            if (a ^ values[j]).bit_count() <= limit:
-                x, y = sorted((find(i), find(j)))
-                parent[y] = x
-    left, right = sp._reached(fp, np.arange(len(values)), limit)
-    want = {i: find(i) for i in range(len(values)) if find(i) != i}
-    assert len(want) > 500 and len(right) == len(want) and dict(zip(right.tolist(), left.tolist())) == want
+    def groups(pairs):
+        parent = list(range(len(values)))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in pairs:
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+        return [find(i) for i in range(len(values))]
+
+    one, two = sp.spanning_links(fp, np.full(len(values), 100), limit)
+    found = list(zip(one.tolist(), two.tolist()))
+    assert all((values[i] ^ values[j]).bit_count() <= limit for i, j in found) and len(found) > 500
+    want = groups((i, j) for i, a in enumerate(values) for j in range(i) if (a ^ values[j]).bit_count() <= limit)
+    assert groups(found) == want and len(found) == len(values) - len(set(want))
+
+
+def test_a_hot_key_over_several_windows(spark, monkeypatch):
+    monkeypatch.setattr(sp, "WINDOW", 16)
+    rng = random.Random(4)
+    base = prose(78, 60).split()
+    texts = [changed(base, 1, rng) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    roots = {r["component_id"] for r in sp.similar_groups(df).collect()}
+    linked = {i for i in range(200) if any(jaccard(texts[i], t) >= 0.8 for j, t in enumerate(texts) if j != i)}
+    assert len(linked) > 150 and len(roots) <= 200 - 0.9 * len(linked) + 1
+
+
+def test_clashing_columns_stay(spark):
+    texts = [prose(1, 50), prose(1, 50), prose(2, 50)]
+    df = spark.createDataFrame([(i, t, -i, "x", "y") for i, t in enumerate(texts)],
+                               "doc_id long, text string, lead_rows int, lead_id string, text_digest string")
+    kept = sp.distinct_documents(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [(0, texts[0], 0, "x", "y"), (2, texts[2], -2, "x", "y")]
 
 
 def test_distinct_odd_rows(odd):
