@@ -6,7 +6,8 @@ form the vocabulary (at most features-per-toxic-text / share entries). A token o
 a feature is labelled toxic, every other token of every text is labelled clean.
 
 The field has two states, weights for features and a bias in the toxic state, and four transition weights. It is
-fitted on a sample of at most ``sample_rows`` rows of each label; counts, vocabulary and scores cover all rows.
+fitted on a sample of at most ``sample_rows`` different texts of each label with at most ``SAMPLE_BYTES`` bytes, each
+weighted by its copies; counts, vocabulary and scores cover all rows.
 Tokens without a feature all look the same, so a stretch of them is a power of one 2 x 2 matrix: forward-backward
 visits only tokens with features and is still exact over the whole text.
 
@@ -37,6 +38,8 @@ SHARE = 0.005
 LEAST_TEXTS = 3
 LEAST_LOG_ODDS = 2.0
 SAMPLE_ROWS = 2000
+#: Bytes of text that the sample of a label has at most, but for its first text.
+SAMPLE_BYTES = 16 << 20
 #: Tokens of a training sequence.
 SEQUENCE = 64
 STEPS = 120
@@ -211,8 +214,22 @@ def _encoded(part: pa.RecordBatch, vocabulary: Vocabulary):
     return n_tokens, counts, place, found, starts[some] - offsets[row], ends[some] - offsets[row]
 
 
+def _chosen(rows: DataFrame, label: int, n: int) -> list[int]:
+    """Hashes of the texts of the sample of a label: the smallest ones, as far as number and bytes allow. Only hashes and sizes
+    meet in one task."""
+    texts = rows.where(F.col("toxic") == label).groupBy(F.xxhash64("text").alias("hash")).agg(
+        F.max(F.octet_length("text")).alias("size")).orderBy("hash").limit(n).collect()
+    chosen, size = [], 0
+    for r in texts:
+        size += r["size"]
+        if chosen and size > SAMPLE_BYTES:
+            break
+        chosen.append(r["hash"])
+    return chosen
+
+
 def _sample(rows: DataFrame, vocabulary: Vocabulary, n: int) -> pa.Table:
-    """At most n rows of each label, by the hash of their text, as token numbers and feature ids."""
+    """At most n different texts of each label, by hash, as token numbers and feature ids, with the number of their copies."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,26 +237,31 @@ def _sample(rows: DataFrame, vocabulary: Vocabulary, n: int) -> pa.Table:
                 n_tokens, counts, place, ids, _, _ = _encoded(part, vocabulary)
                 edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("toxic"), pa.array(n_tokens),
+                    [part.column("toxic"), part.column("copies"), pa.array(n_tokens),
                      pa.ListArray.from_arrays(pa.array(edges), pa.array(place)),
                      pa.ListArray.from_arrays(pa.array(edges * WIDTH), pa.array(ids.ravel()))],
-                    names=["toxic", "n_tokens", "place", "ids"])
+                    names=["toxic", "copies", "n_tokens", "place", "ids"])
 
-    picked = [rows.where(F.col("toxic") == k).orderBy(F.xxhash64("text"), "text").limit(n) for k in (0, 1)]
-    return picked[0].unionByName(picked[1]).select("toxic", "text").mapInArrow(
-        encode, "toxic long, n_tokens long, place array<long>, ids array<long>").toArrow()
+    # Hashes are uniform, so the texts of the sample are those up to a bound.
+    last = [max(_chosen(rows, k, n), default=-1 << 63) for k in (0, 1)]
+    mine = rows.withColumn("hash", F.xxhash64("text")).where(
+        F.col("hash") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0])))
+    once = mine.groupBy("toxic", "hash").agg(F.min("text").alias("text"), F.count("*").alias("copies"))
+    return once.orderBy("toxic", "hash").select("toxic", "copies", "text").mapInArrow(
+        encode, "toxic long, copies long, n_tokens long, place array<long>, ids array<long>").toArrow()
 
 
-def _fit_chain(toxic, n_tokens, counts, place, ids, n_features: int, steps: int = STEPS):
-    """Weights by Adam on the log-likelihood of sequences of 64 tokens; sequences without features, which are all
-    alike, enter once with their number as weight."""
+def _fit_chain(toxic, copies, n_tokens, counts, place, ids, n_features: int, steps: int = STEPS):
+    """Weights by Adam on the log-likelihood of sequences of 64 tokens, each weighted by the copies of its text; sequences
+    without features, which are all alike, enter once with their number as weight."""
     text = np.repeat(np.arange(len(counts)), counts)
     piece = place // SEQUENCE
     key = text * (int(n_tokens.max(initial=0)) // SEQUENCE + 1) + piece
-    seqs, seq = np.unique(key, return_inverse=True)
+    seqs, first, seq = np.unique(key, return_index=True, return_inverse=True)
     n_seq = len(seqs) + 1
-    empty = max(int((n_tokens // SEQUENCE).sum()) - len(seqs), 1)
-    weight = np.append(np.ones(len(seqs)), empty)[:, None]
+    mine = copies[text[first]]
+    empty = max(int((copies * (n_tokens // SEQUENCE)).sum() - mine.sum()), 1)
+    weight = np.append(mine, empty).astype(np.float64)[:, None]
     grid = np.full((n_seq, SEQUENCE, WIDTH), n_features)
     grid[seq, place % SEQUENCE] = ids
     gold = np.zeros((n_seq, SEQUENCE), np.int64)
@@ -306,13 +328,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         flat = np.array([np.log((rate + 1e-9) / (1 - rate + 1e-9)), 0, 0])
         return vocabulary, Crf(np.zeros(n + 1), 0.0, np.zeros((2, 2)), flat)
     sample = _sample(rows, vocabulary, sample_rows)
-    toxic, n_tokens = sample["toxic"].to_numpy(), sample["n_tokens"].to_numpy()
+    toxic, copies, n_tokens = (sample[c].to_numpy() for c in ("toxic", "copies", "n_tokens"))
     places = sample["place"].combine_chunks()
     counts = places.value_lengths().to_numpy().astype(np.int64)
     place, ids = places.flatten().to_numpy(), sample["ids"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
-    model = Crf(*_fit_chain(toxic, n_tokens, counts, place, ids, n), np.zeros(3))
+    model = Crf(*_fit_chain(toxic, copies, n_tokens, counts, place, ids, n), np.zeros(3))
     p = model.marginals(n_tokens, counts, place, ids)
-    share = np.where(toxic == 1, n_toxic / max((toxic == 1).sum(), 1), n_clean / max((toxic == 0).sum(), 1))
+    drawn = [max(copies[toxic == k].sum(), 1) for k in (0, 1)]
+    share = copies * np.where(toxic == 1, n_toxic / drawn[1], n_clean / drawn[0])
     model.logistic = _fit_logistic(evidence(counts, p), toxic, share * len(toxic) / (n_toxic + n_clean))
     return vocabulary, model
 
