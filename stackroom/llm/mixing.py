@@ -34,6 +34,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BUCKET_ROWS = 2_000
 #: Slots drawn by one call.
 CHUNK_SLOTS = 1 << 16
+#: Slots drawn by one task, about.
+TASK_SLOTS = 1 << 18
 SEED = 20240229
 
 
@@ -100,7 +102,10 @@ def draw_slots(targets: DataFrame, block_words: int, slots_per_shard: int, seed:
     chunks = (plan.withColumn("n_shards", shards).where("slots > 0")
               .withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1,
                                                         F.lit(CHUNK_SLOTS).cast("long"))))
-              .select("sid", "n_blocks", "slots", "n_shards", "first").repartition("sid", "first"))
+              .select("sid", "n_blocks", "slots", "n_shards", "first"))
+    # The rows are few and short, what is drawn from them is not: the number of tasks is named, so they stay apart.
+    total = plan.agg(F.sum("slots").alias("n")).first()["n"] or 0
+    chunks = chunks.repartition(max(1, -(-total // TASK_SLOTS)), "sid", "first")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,5 +189,5 @@ class Mix:
             "sid", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("n_words"),
             F.array_distinct(F.transform("parts", lambda p: p["doc_id"])).alias("doc_ids"),
             F.array_join(F.transform("parts", lambda p: p["text"]), " ").alias("text"))
-        return self.slots.join(packed, ["sid", "block"]).join(
+        return self.slots.hint("merge").join(packed.hint("merge"), ["sid", "block"]).join(
             self.targets.select("sid", "source"), "sid").select("shard", "sid", "source", "slot", "block", "n_words", "doc_ids", "text")
