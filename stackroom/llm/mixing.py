@@ -135,7 +135,8 @@ class Mix:
         self.block_words = block_words
         sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
                             F.xxhash64("text").alias("text_hash"), *(["text"] if keep_text else []))
-        sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()))
+        # With texts this is the largest table of the job, and it stays until the end.
+        sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()), "zstd" if keep_text else "snappy")
         n_buckets = sized.count() // BUCKET_ROWS + 1
         sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = staged(mix_targets(sums, weights, share, most))
