@@ -122,7 +122,8 @@ def chunk_atomic(spark, sf):
   SELECT o_orderkey, reason FROM (SELECT o_orderkey, CASE WHEN a <= b THEN 'not strictly descending' WHEN a < 64 OR a > 8192 OR b < 64 OR b > 8192 THEN 'size out of range'
     WHEN overlap > b * 0.15::DOUBLE THEN 'overlap above 15%' END AS reason FROM c) WHERE reason IS NOT NULL""")
 def chunk_config_check(spark, sf):
-    whole = F.round("o_totalprice", 0).cast("long")
+    # As the cast of the SQL: a half goes to the even neighbour.
+    whole = F.rint("o_totalprice").cast("long")
     configs = table(spark, sf, "orders").select(
         "o_orderkey", F.array((whole % 10000).cast("int"), (F.col("o_custkey") % 1200).cast("int")).alias("sizes"),
         (F.col("o_orderkey") % 200).alias("overlap"))

@@ -131,3 +131,18 @@ def test_settings(spark):
         "retrieval.top_k": "not overridable", "chunking.x": "unknown key"}
     put = G.put(over, spark.createDataFrame([("a", "dedup.enabled", "false")], "kb_id string, key string, value string"))
     assert [(r.key, r.value) for r in put.collect()] == [("dedup.enabled", "false")]
+
+
+def test_config_check_rounds_halves_to_even(spark, tmp_path):
+    import duckdb
+
+    from stackroom.plans.chunk_queries import chunk_config_check
+    from stackroom.plans import load_all
+
+    prices = [62.5, 63.5, 64.5, 100.5, 101.5, 8192.5, 10063.5, 10064.5, 99.49, 99.51]
+    rows = [(8 * i + k, p, c) for i, p in enumerate(prices) for k, c in enumerate([62, 63, 64, 65, 100, 101, 102])]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = sorted(con.sql(load_all()["chunk_config_check"].sql).fetchall())
+    assert sorted(tuple(r) for r in chunk_config_check(spark, str(tmp_path)).collect()) == want
