@@ -78,12 +78,22 @@ def dictionary_counts(docs, entries):
     """How often each dictionary expression is kept as one token, per document.
 
     Two-word windows of a document are matched with the dictionary by an equi-join, so neither side
-    has to fit into memory.
+    has to fit into memory. A window takes both its words, so a word repeated k times in a row holds its own pair k / 2 times,
+    rounded down; windows of two different words never overlap their like.
     """
+    def kept_pairs(t):
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+
+        def of_run(b, at, p):
+            word, after = F.get(t, at), F.coalesce(F.get(b, p + 1), F.size(t))
+            pair = lambda other: F.concat(word, F.lit(" "), other)
+            own = F.array_repeat(pair(word), ((after - at) / 2).cast("int"))
+            return F.when(after < F.size(t), F.concat(own, F.array(pair(F.get(t, after))))).otherwise(own)
+
+        return F.when(F.size(t) > 1, X.let(starts, lambda b: F.flatten(F.transform(b, lambda at, p: of_run(b, at, p)))))
+
     pairs = docs.select("doc_id", X.ws_tokens(F.col("text")).alias("t")).select(
-        "doc_id", F.explode(X.token_counts(F.filter(F.transform(
-            "t", lambda w, i: F.concat(w, F.lit(" "), F.coalesce(F.get("t", i + 1), F.lit("")))),
-            lambda p: ~p.endswith(" ")))).alias("p"))
+        "doc_id", F.explode(X.token_counts(kept_pairs(F.col("t")))).alias("p"))
     return pairs.select("doc_id", F.col("p.token").alias("e"), F.col("p.tf").alias("n")).join(entries, "e").select(
         "doc_id", F.col("e").alias("expression"), "n")
 

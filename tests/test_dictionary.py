@@ -38,3 +38,14 @@ def test_a_large_dictionary_stops(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(ValueError):
         D.dictionary_tokens(docs, spark.createDataFrame([("long expression",)], "expression string"), "doc_id")
+
+
+def test_a_repeated_word_keeps_every_second_window(spark):
+    from stackroom.plans.text_queries import dictionary_counts
+
+    docs = spark.createDataFrame([(k, "The " * k + "end") for k in range(7)] + [(7, "a b a b a"), (8, ""), (9, None), (10, "a")],
+                                 "doc_id long, text string")
+    entries = spark.createDataFrame([("the the",), ("the end",), ("a b",), ("b a",)], "e string")
+    got = {(r.doc_id, r.expression): r.n for r in dictionary_counts(docs, entries).collect()}
+    want = {(k, "the the"): k // 2 for k in range(2, 7)} | {(k, "the end"): 1 for k in range(1, 7)} | {(7, "a b"): 2, (7, "b a"): 2}
+    assert got == want
