@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.banding import bucket_join
 from ..session import staged
 from .components import components
 from .textarrays import BLANK, lowered, mixed, prefix_sums, slices, span_hashes, spans, text_bytes, windows
@@ -225,6 +226,8 @@ BANDS, ROWS = 16, 6
 #: Members of a bucket whose pairs are all proposed, and that are judged at once.
 SMALL_BUCKET = 6
 WINDOW = 2048
+#: 64-bit words of a set's parities.
+PARITIES = 8
 #: Bits of the filter for the sets that some pair asks for.
 FILTER_BITS = 1 << 24
 
@@ -287,19 +290,29 @@ def _wide_sketch(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
     return fp, keys, np.roll(least[:, :, 0], -1, axis=1)
 
 
+def _parities(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each set, PARITIES words in which every shingle flips one bit: two sets differ in at least as many shingles as bits."""
+    spread = mixed(hashes + np.uint64(0x9FB21C651E98DF25))
+    maps = np.zeros((len(n), PARITIES), np.uint64)
+    np.bitwise_xor.at(maps, (np.repeat(np.arange(len(n)), n), (spread >> np.uint64(6)).astype(np.int64) % PARITIES),
+                      np.uint64(1) << (spread & np.uint64(63)))
+    return maps
+
+
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, n, w0 ... w3, keys, next): node names the set of shingles, n is its size."""
+    """(doc_id, node, n, w0 ... w3, p0 ... p7, keys, next): node names the set of shingles, n is its size."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    words = [f"w{k}" for k in range(PARTS)]
+    words = [f"w{k}" for k in range(PARTS)] + [f"p{k}" for k in range(PARITIES)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, n = _shingle_sets(part, shingle)
                 fp, *lists = _wide_sketch(hashes, n)
+                fp = np.concatenate([fp, _parities(hashes, n)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), _digests(hashes, n), pa.array(n.astype(np.int64)),
-                     *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(PARTS)],
+                     *[pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(len(words))],
                      *[pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel().view(np.int64)), BANDS).cast(
                          pa.list_(pa.int64())) for x in lists]],
                     names=["doc_id", "node", "n", *words, "keys", "next"])
@@ -351,6 +364,7 @@ def proposed_links(prints: DataFrame, limit: int = WIDE_BITS) -> DataFrame:
     Every set is filed under BANDS keys, whatever their number. Buckets of up to SMALL_BUCKET propose all their pairs, larger
     ones a tree. Within a key sets are ordered by the first rows of the next band, so members of a hot key that agree
     in more rows stand together; they are judged in overlapping windows, and ranges of them go to different tasks.
+    Trees, windows and ``limit`` leave pairs out: those are looked for by :func:`remaining_links`.
     """
     words = [f"w{k}" for k in range(PARTS)]
     filed = prints.where("n > 0").select("node", "n", *words, F.inline(F.arrays_zip(
@@ -409,6 +423,28 @@ def proposed_links(prints: DataFrame, limit: int = WIDE_BITS) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def remaining_links(prints: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): every pair of sets that share a key, can be similar and are not in one group of ``roots`` (node, root) yet.
+
+    Nothing is judged by chance here: sizes and parities bound the similarity from above. Keys whose sets are all in one group
+    have nothing left, so of a large group of near copies no pair is met; any other bucket is met whole, as a grid of blocks.
+    """
+    maps = [f"p{k}" for k in range(PARITIES)]
+    found = roots.select(F.col("node").alias("of"), "root")
+    filed = staged(prints.where("n > 0").join(found, F.col("node") == F.col("of"), "left").select(
+        F.explode("keys").alias("key"), "node", F.coalesce("root", "node").alias("root")))
+    mixed_keys = filed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = staged(filed.join(mixed_keys, "key").join(prints.select("node", "n", *maps), "node"))
+    right = left.select("key", F.col("node").alias("other"), F.col("root").alias("theirs"), F.col("n").alias("k"),
+                        *[F.col(m).alias(f"o{m}") for m in maps])
+    differ = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"o{m}"))) for m in maps), F.lit(0))
+    may = (F.col("node") < F.col("other")) & (F.col("root") != F.col("theirs")) & (
+        F.least("n", "k") >= F.greatest("n", "k") * similarity - 1e-9) & (
+        differ <= (F.col("n") + F.col("k")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    return bucket_join(left, right, ["key"], "node", "other", may).select(
+        F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
 def verified_links(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
@@ -449,12 +485,18 @@ def similar_groups(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """(doc_id, component_id): near copies, at a Jaccard similarity of 0.8 or more on sets of five-word shingles.
 
     Equal sets are one row from the start. Others are proposed by bands of smallest values, fingerprints of 256 bits and the
-    tables of distances to the pivots; a proposed pair is a link only if its sets are that similar. Of the pairs at 0.8,
-    99 of 100 share a band, and more above.
+    tables of distances to the pivots; a proposed pair is a link only if its sets are that similar. What a large bucket leaves
+    out is looked for afterwards, between the groups found so far, so every pair of similar sets that share a band ends in one
+    group. Of the pairs at 0.8, 99 of 100 share a band, and more above.
     """
     rows = staged(_sketches(docs, shingle))
-    pairs = staged(proposed_links(rows.drop("doc_id").dropDuplicates(["node"])))
-    roots = components(verified_links(pairs, docs, shingle)).withColumnRenamed("node", "of")
+    prints = staged(rows.drop("doc_id").dropDuplicates(["node"]))
+    links = staged(verified_links(staged(proposed_links(prints)), docs, shingle))
+    roots = staged(components(links))
+    rest = staged(remaining_links(prints, roots))
+    if not rest.isEmpty():
+        roots = components(links.unionByName(verified_links(rest, docs, shingle)))
+    roots = roots.withColumnRenamed("node", "of")
     firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     grouped = firsts.join(roots, F.col("node") == F.col("of"), "left").select(
         "node", "first_id", F.coalesce("root", "node").alias("root"))

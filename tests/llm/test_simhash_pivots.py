@@ -173,6 +173,28 @@ def test_a_hot_key_over_several_windows(spark, monkeypatch):
     assert len(linked) > 150 and len(roots) <= 200 - 0.9 * len(linked) + 1
 
 
+def test_no_similar_pair_of_a_bucket_is_left_out(spark, monkeypatch):
+    """Proposals that leave nearly all pairs out; all sets that share a key and are similar end in one group still."""
+    proposed = sp.proposed_links
+    monkeypatch.setattr(sp, "proposed_links", lambda prints: proposed(prints, limit=0))
+    rng = random.Random(5)
+    base = prose(79, 60).split()
+    texts = [changed(base, 2, rng) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    keys = {r["doc_id"]: set(r["keys"]) for r in sp._sketches(df, sp.WIDE_SHINGLE).collect()}
+    least = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(least)
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if least[i] != least[j] and keys[i] & keys[j] and jaccard(a, texts[j]) >= 0.8:
+                    least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            break
+    assert len(set(least)) < len(texts)
+    assert {r["doc_id"]: r["component_id"] for r in sp.similar_groups(df).collect()} == dict(enumerate(least))
+
+
 def test_clashing_columns_stay(spark):
     texts = [prose(1, 50), prose(1, 50), prose(2, 50)]
     df = spark.createDataFrame([(i, t, -i, "x", "y") for i, t in enumerate(texts)],
