@@ -119,3 +119,18 @@ def test_keys_find_whatever_is_a_pair(spark):
         held.setdefault(r.doc_id, set()).add((r.kb_id, r.kind, r.key))
     pairs = {(r.group, r.other) for r in found_pairs(sketched, lead).collect()}
     assert pairs and all(held[a] & held[b] for a, b in pairs)
+
+
+def test_documents_that_meet_in_the_fold_end_as_a_replay_over_all_pairs(spark):
+    """No table of pairs: spanning links, and the best indexed document alone is confirmed."""
+    from stackroom.operators.sequence import replay_texts
+
+    rows = corpus(90) + [(200 + i, "ab" if i % 3 else "", i) for i in range(6)] + [(300 + i, f"{text(5)} end {i}", 60 - i) for i in range(8)]
+    docs = D.parsed(frame(spark, rows), Parsers()).withColumn("digest", F.sha2("text", 256)).localCheckpoint()
+    group = docs.groupBy("digest").agg(F.min("doc_id").alias("group"))
+    lead = docs.join(group.select(F.col("group").alias("doc_id")), "doc_id", "left_semi")
+    placed = docs.join(group, "digest").select("doc_id", "group", "doc_created_at")
+    sketched = sketches(lead).localCheckpoint()
+    want = decisions(replay(placed, found_pairs(sketched, lead)))
+    got = decisions(replay_texts(placed, sketched, lead))
+    assert got == want and len({v[3] for v in want.values()}) >= 3
