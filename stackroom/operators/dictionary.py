@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip, ws_tokens
+from .batches import pieces
 
 #: Score of an entry that names none.
 SCORE = 10.0
@@ -66,7 +67,7 @@ def dictionary_tokens(docs: DataFrame, entries: DataFrame, *ids: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(sent.value)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "words")):
             at = batch.schema.get_field_index
             tokens = [None if w is None else trie.tokens(w) for w in batch.column(at("words")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in ids], pa.array(tokens, pa.list_(pa.string()))],
