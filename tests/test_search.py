@@ -158,3 +158,22 @@ def test_levels_and_overlap_of_settings(spark):
     kbs = spark.createDataFrame([("a",), ("b",), ("c",)], "kb_id string")
     resolved = G.resolve(kbs, spark.createDataFrame(own, "kb_id string, key string, value string"), rules)
     assert {r["kb_id"] for r in G.overlap_violations(resolved).collect()} == {"a", "c"}
+
+
+def test_semantic_lookup_streams_requests_past_the_entries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasCogroupedOps.applyInPandas", None)
+    rng = np.random.default_rng(2)
+    asked = [(i, None if i == 7 else f"b{i % 3}", rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    held = [(f"b{i % 2}", f"q{i:02}", None if i == 4 else rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(30)]
+    got = C.semantic_lookup(spark.createDataFrame(asked, "request_id bigint, bucket_hash string, embedding array<double>"),
+                            spark.createDataFrame(held, "bucket_hash string, query_hash string, embedding array<double>"), 0.6)
+    wanted = {}
+    for i, bucket, a in asked:
+        for b, name, e in held:
+            if b == bucket and e and any(a) and any(e):
+                score = round(float(np.dot(a, e) / np.linalg.norm(a) / np.linalg.norm(e)), 9)
+                if score >= 0.6:
+                    wanted[i] = min(wanted.get(i, (0, "")), (-score, name))
+    assert {r.request_id: (-round(r.score, 9), r.query_hash) for r in got.collect()} == wanted and len(wanted) > 100
