@@ -38,6 +38,20 @@ def test_sparse_topk_against_brute_force(spark, slab):
     assert got == wanted
 
 
+def test_sparse_topk_makes_no_rows_of_queries_and_chunks(spark):
+    """Few words, so that every query shares some with every chunk; a knowledge base that is null has no chunks."""
+    rng = random.Random(6)
+    chunks = [(None if i % 10 == 9 else f"kb{i % 2}", f"c{i:04d}", " ".join(rng.choices("abcd", k=6))) for i in range(2000)] + [("kb0", "no", "")]
+    queries = [(q, "a b c d" if q else "") for q in range(60)]
+    frame = sparse_topk(spark.createDataFrame(queries, "query_id bigint, text string"),
+                        spark.createDataFrame(chunks, "kb_id string, chunk_id string, text string"), 3)
+    got = frame.collect()
+    assert len(got) == 59 * 2 * 3 and {r.kb_id for r in got} == {"kb0", "kb1"}
+    assert len({(r.kb_id, r.chunk_id, r.rank, r.score) for r in got}) == 6
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
 def test_dense_topk_slabs_agree(spark):
     rng = random.Random(2)
     rows = [(i, f"kb{i % 3}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
