@@ -8,6 +8,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Blocks dropped with their content, by extraction policy.
 DROPPED = {
     "lenient": ("script", "style", "noscript", "template", "head"),
@@ -58,8 +60,8 @@ def _piece(piece: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     """Named and numeric character references decoded, once and in one pass; texts without an ampersand are not cut."""
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(
-        F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _piece), "")).otherwise(text)
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(
+        F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0)), _piece), "")).otherwise(t))
 
 
 def html_to_text(html: Column, policy: str = "lenient") -> Column:
@@ -78,7 +80,7 @@ def page_title(html: Column, fallback: Column) -> Column:
     meta = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:title["'][^>]*>""", 0)
     og = unescape(F.regexp_extract(meta, r"""(?is)\bcontent=["']([^"']*)["']""", 1))
     tag = unescape(F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
-    return F.when(og != "", F.trim(og)).when(tag != "", F.trim(tag)).otherwise(fallback)
+    return let(og, lambda o: F.when(o != "", F.trim(o)).otherwise(let(tag, lambda t: F.when(t != "", F.trim(t)).otherwise(fallback))))
 
 
 def links(html: Column) -> Column:
@@ -88,6 +90,9 @@ def links(html: Column) -> Column:
 
 
 def content_version(etag: Column, text: Column, html: Column) -> Column:
-    """The server's tag, else a hash of the extracted text, else of the page."""
+    """The server's tag, else a hash of the extracted text, else of the page.
+
+    The text is the result of many expressions; it is bound, so that they run once and only where there is no tag.
+    """
     own = F.nullif(F.regexp_replace(F.coalesce(etag, F.lit("")), '^"+|"+$', ""), F.lit(""))
-    return F.coalesce(own, F.md5(F.coalesce(F.nullif(text, F.lit("")), html)))
+    return F.coalesce(own, let(text, lambda t: F.md5(F.when(t != "", t).otherwise(html))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackroom.functions import html as H
 from stackroom.functions import text as X
 from stackroom.functions import urls as U
+from stackroom.plans import load_all
 
 
 def one(spark, value, fn):
@@ -136,3 +137,10 @@ def test_json_keeps_every_key(spark, tmp_path):
     (tmp_path / "c.json").write_text("not json")
     got = {r["path"][-6:]: r["text"] for r in read_json(spark, str(tmp_path)).collect()}
     assert got == {"a.json": '{"a":"é","b":[1,{"x":null}]}', "b.json": '{"other":1.5}', "c.json": None}
+
+
+@pytest.mark.parametrize("name, times", [("content_version", 1), ("html_to_text", 2), ("page_title", 0), ("change_detection", 0)])
+def test_a_page_is_parsed_once(spark, name, times):
+    """The text of a page stands once for each policy in the plan of the query; change_detection reads it from what it wrote."""
+    plan = load_all()[name].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<!--.*?-->") == times and plan.count("og:title") == (name == "page_title")
