@@ -8,7 +8,7 @@ from ..functions import html as H
 from ..functions import urls as U
 from ..functions.text import suffix
 from ..operators import crawl as C
-from ..session import spread
+from ..session import spread, staged
 from ..sources.tables import crawl, documents, table
 from . import sqlbits as S
 from .registry import query
@@ -225,17 +225,24 @@ cat AS (SELECT source, any_value(CASE WHEN length(html) % 3 = 0 THEN version ELS
 _ACT = """CASE WHEN cat.status IS NULL THEN 'new' WHEN version = content_version AND (cat.status = 'deleted' OR (cat.status = 'failed' AND contains(last_error, 'Aborted'))) THEN 'restage' WHEN version <> content_version THEN 'changed' WHEN title <> old_title THEN 'retitle' ELSE 'unchanged' END"""
 
 
-def old_catalog(spark, sf):
-    n = F.length("html")
-    p = pages_of(spark, sf).withColumn("source", U.normalize_web_uri(F.col("url"))).withColumn(
-        "text", H.html_to_text(F.col("html"), POLICY))
-    version = H.content_version(F.lit(None).cast("string"), F.col("text"), F.col("html"))
-    title = H.page_title(F.col("html"), U.last_segment(F.col("source")))
-    row = F.struct("page_id", F.when(n % 3 == 0, version).otherwise("older").alias("content_version"),
+def versions(spark, sf):
+    """(page_id, source, version, title, n, fetched): what the change queries use of a page, written once. A page is parsed once for
+    both sides of the comparison, and the pages themselves stay where they are."""
+    pages = pages_of(spark, sf).withColumn("source", U.normalize_web_uri(F.col("url")))
+    return staged(pages.select(
+        "page_id", "source", H.content_version(F.lit(None).cast("string"), H.html_to_text(F.col("html"), POLICY), F.col("html")).alias("version"),
+        H.page_title(F.col("html"), U.last_segment(F.col("source"))).alias("title"),
+        F.length("html").alias("n"), F.col("html").contains("</html>").alias("fetched")))
+
+
+def old_catalog(pages):
+    """The catalog before this crawl, from the rows of :func:`versions`."""
+    n = F.col("n")
+    row = F.struct("page_id", F.when(n % 3 == 0, F.col("version")).otherwise("older").alias("content_version"),
                    F.when(n % 7 == 0, "deleted").when(n % 7 == 1, "failed").otherwise("indexed").alias("status"),
                    F.when(n % 2 == 0, "Aborted").otherwise("timeout").alias("last_error"),
-                   F.when(n % 5 == 0, "old title").otherwise(title).alias("old_title"))
-    return p.filter(n % 4 != 0).groupBy("source").agg(F.min(row).alias("r")).select(
+                   F.when(n % 5 == 0, "old title").otherwise(F.col("title")).alias("old_title"))
+    return pages.filter(n % 4 != 0).groupBy("source").agg(F.min(row).alias("r")).select(
         "source", "r.content_version", "r.status", "r.last_error", "r.old_title")
 
 
@@ -245,19 +252,16 @@ def old_catalog(spark, sf):
    CASE WHEN action IN ('new', 'changed', 'restage') THEN size END AS file_size, CASE WHEN action IN ('new', 'changed', 'restage') THEN 'pending' WHEN action = 'failed' THEN 'failed' END AS new_status FROM a""")
 def stage_pages(spark, sf):
     pages = pages_of(spark, sf).withColumn("fetched", F.col("html").contains("</html>"))
-    return C.stage_pages(pages, old_catalog(spark, sf), MIN_CHARS, POLICY)
+    return C.stage_pages(pages, old_catalog(versions(spark, sf)), MIN_CHARS, POLICY)
 
 
 @query("change_detection", f"WITH {_OLD} SELECT source, page_id, {_ACT} AS action FROM ver LEFT JOIN cat USING (source) UNION ALL SELECT source, NULL, 'gone' FROM cat WHERE source NOT IN (SELECT source FROM ver WHERE fetched) AND status <> 'deleted'")
 def change_detection(spark, sf):
-    pages = pages_of(spark, sf).withColumn("source", U.normalize_web_uri(F.col("url"))).withColumn(
-        "text", H.html_to_text(F.col("html"), POLICY))
-    now = pages.select("page_id", "source", H.content_version(F.lit(None).cast("string"), F.col("text"), F.col("html")).alias("version"),
-                       H.page_title(F.col("html"), U.last_segment(F.col("source"))).alias("title"))
-    old = old_catalog(spark, sf)
+    now = versions(spark, sf)
+    old = old_catalog(now)
     seen = now.join(old, "source", "left").select("source", "page_id", C.change_action(
         F.col("version"), F.col("content_version"), F.col("status"), F.col("last_error"), F.col("title"), F.col("old_title")).alias("action"))
-    fetched = pages.filter(F.col("html").contains("</html>")).select("source")
+    fetched = now.filter("fetched").select("source")
     gone = old.filter(F.col("status") != "deleted").join(fetched, "source", "left_anti").select(
         "source", F.lit(None).cast("bigint").alias("page_id"), F.lit("gone").alias("action"))
     return seen.unionByName(gone)
