@@ -133,14 +133,12 @@ class Mix:
                  weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0,
                  seed: int = SEED, keep_text: bool = False) -> None:
         self.block_words = block_words
-        sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"),
-                            F.xxhash64("text").alias("text_hash"), *(["text"] if keep_text else []))
-        # With texts this is the largest table of the job, and it stays until the end.
-        sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()), "zstd" if keep_text else "snappy")
+        sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+        sized = staged(sized.withColumn("row_id", F.monotonically_increasing_id()))
         n_buckets = sized.count() // BUCKET_ROWS + 1
         sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.targets = staged(mix_targets(sums, weights, share, most))
-        numbered = sized.drop("text").withColumnRenamed("source", "name").join(
+        numbered = sized.withColumnRenamed("source", "name").join(
             self.targets, F.col("name").eqNullSafe(F.col("source"))).drop("name").withColumn(
             "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets)))
         in_source = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -150,18 +148,18 @@ class Mix:
             Window.unboundedPreceding, -1)
         self.rows = (numbered.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0)))
                      .join(bases, ["sid", "bucket"])
-                     .select("row_id", "doc_id", "sid", "source", "size", "source_size", "target",
+                     .select("row_id", "doc_id", "text_hash", "sid", "source", "size", "source_size", "target",
                              (F.col("base") + F.col("within")).alias("start")))
         self.slots = draw_slots(self.targets, block_words, slots_per_shard, seed)
-        self._texts = sized.select("row_id", "text") if keep_text else None
+        self._docs = docs if keep_text else None
 
     def pieces(self) -> DataFrame:
-        """(sid, block, row_id, doc_id, start, length, skip): the part of a document in each block it touches."""
+        """(sid, block, row_id, doc_id, text_hash, start, length, skip): the part of a document in each block it touches."""
         size, start, width = F.col("size"), F.col("start"), self.block_words
         first, last = F.floor(start / width), F.floor((start + size - 1) / width)
         low, high = F.greatest(start, F.col("block") * width), F.least(start + size, (F.col("block") + 1) * width)
         return (self.rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-                .select("sid", "block", "row_id", "doc_id", low.alias("at"), (high - low).alias("length"),
+                .select("sid", "block", "row_id", "doc_id", "text_hash", low.alias("at"), (high - low).alias("length"),
                         (low - start).alias("skip")))
 
     def taken(self) -> DataFrame:
@@ -175,16 +173,19 @@ class Mix:
 
     def blocks(self) -> DataFrame:
         """The mix itself: (shard, sid, source, slot, block, n_words, doc_ids, text), one row per slot."""
-        # Texts travel whole and once, to their cuts; they are split into words only there, once for all cuts of a row.
-        per_row = self.pieces().groupBy("row_id", "sid", "doc_id").agg(
-            F.collect_list(F.struct("block", "at", "length", "skip")).alias("cuts"))
+        # Texts are read anew from the documents and not kept beside them. They travel whole and once, to their cuts; they are split
+        # into words only there, once for all cuts. Rows of one id and one text are one text with the cuts of all of them.
+        # No hash is null; said on both sides, the name has one type, and one shuffle of the texts serves grouping and join.
+        named = F.struct("doc_id", F.coalesce("text_hash", F.lit(0).cast("long")).alias("text_hash")).alias("named")
+        per_text = self.pieces().groupBy(named).agg(F.collect_list(F.struct("sid", "block", "at", "length", "skip")).alias("cuts"))
+        texts = self._docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).groupBy(named).agg(
+            F.first("text").alias("text"))
         words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
         cuts = let(words, lambda ws: F.transform("cuts", lambda c: F.struct(
-            c["block"], c["at"], c["length"], F.array_join(F.slice(
+            c["sid"], c["block"], c["at"], c["length"], F.array_join(F.slice(
                 ws, (c["skip"] + 1).cast("int"), c["length"].cast("int")), " ")).cast(
-            "struct<block:bigint,at:bigint,length:bigint,text:string>")))
-        cut = per_row.join(self._texts, "row_id").select("sid", "doc_id", F.explode(cuts).alias("c")).select(
-            "sid", "doc_id", "c.*")
+            "struct<sid:bigint,block:bigint,at:bigint,length:bigint,text:string>")))
+        cut = per_text.join(texts, "named").select("named.doc_id", F.explode(cuts).alias("c")).select("doc_id", "c.*")
         packed = cut.groupBy("sid", "block").agg(
             F.array_sort(F.collect_list(F.struct("at", "length", "doc_id", "text"))).alias("parts")).select(
             "sid", "block", F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"]).alias("n_words"),

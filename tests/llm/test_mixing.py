@@ -78,3 +78,18 @@ def test_blocks_hold_what_taken_counts(odd):
 def test_permutation_is_one():
     for size in (1, 2, 3, 17, 1000):
         assert sorted(mixing._permuted(np.arange(size), size, 5).tolist()) == list(range(size))
+
+
+def test_blocks_keep_no_second_copy_of_the_texts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "staged", lambda df, *how, inner=mixing.staged: (written.append(df.columns), inner(df, *how))[1])
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "a b c", "y"), (1, "d e", "x"), (None, "f g", "y"), (None, "f g", None), (2, None, "y")]
+    mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=2, slots_per_shard=4, keep_text=True)
+    blocks = mix.blocks().collect()
+    assert written and not any("text" in columns for columns in written)
+    assert sum(r["n_words"] for r in blocks) == sum(r["taken"] for r in mix.taken().collect()) > 0
+    streams = {r["source"]: {} for r in blocks}
+    for r in blocks:
+        streams[r["source"]][r["block"]] = r["text"].split(" ")
+    whole = {s: sorted(w for ws in own.values() for w in ws) for s, own in streams.items()}
+    assert whole == {"x": sorted("abcabcde"), "y": sorted("abcfg"), None: ["f", "g"]}
