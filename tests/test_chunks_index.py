@@ -146,3 +146,23 @@ def test_config_check_rounds_halves_to_even(spark, tmp_path):
     con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
     want = sorted(con.sql(load_all()["chunk_config_check"].sql).fetchall())
     assert sorted(tuple(r) for r in chunk_config_check(spark, str(tmp_path)).collect()) == want
+
+
+def test_sentences_of_many_documents_are_embedded_together(spark):
+    import numpy as np
+
+    from stackroom.operators.chunking import chunk_semantic
+    from stackroom.operators.embed import hash_embedder
+
+    def together(texts):
+        if len(texts) < 20:
+            raise ValueError("a call for each document")
+        return hash_embedder()(texts)
+
+    def each(texts):
+        return np.vstack([hash_embedder()([t]) for t in texts])
+
+    texts = [f"One word {i}. Two words. Other {i} things here. And {i}." for i in range(12)]
+    rows = spark.createDataFrame([*enumerate(texts), (20, None), (21, ""), (22, "Only one")], "doc_id long, text string").coalesce(1)
+    got = {tuple(r) for r in chunk_semantic(rows, 0.5, together).collect()}
+    assert got == {tuple(r) for r in chunk_semantic(rows, 0.5, each).collect()} and {r[0] for r in got} == {*range(12), 22}
